@@ -112,7 +112,7 @@ def exact_quantiles(
             (F.col("_v") >= edge(q - margin, "-Infinity")) & (F.col("_v") <= edge(q + margin, "Infinity"))
             for q in probs
         ],
-    )
+    ) | (F.col("_n") <= accuracy)  # small groups are kept whole; larger ones have brackets of 4+ ranks
     slot = F.size(F.filter("_b", lambda b: b < F.col("_v")))
     counted = (
         tagged.select(*by, "_n", "_v", slot.alias("_slot"), F.when(inside, F.col("_v")).alias("_in"))
