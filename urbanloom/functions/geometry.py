@@ -16,6 +16,11 @@ LINE = f"array<{POINT}>"
 POLYGON = f"array<{LINE}>"
 
 
+def let(value: Column, fn) -> Column:
+    """Binds ``value`` once for ``fn``; repeated use inside a lambda would evaluate it again."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def point(x, y) -> Column:
     return F.struct(_c(x).cast("double").alias("x"), _c(y).cast("double").alias("y"))
 
@@ -171,8 +176,7 @@ def curvature(c) -> Column:
         lambda a, b: _turn(a, b),
     )
     total = F.aggregate(turns, F.lit(0.0), lambda s, t: s + t)
-    length = line_length(c)
-    return F.when((F.size(c) < 3) | (length <= 0), F.lit(0.0)).otherwise(total / length)
+    return let(line_length(c), lambda length: F.when((F.size(c) < 3) | (length <= 0), F.lit(0.0)).otherwise(total / length))
 
 
 def _turn(a, b) -> Column:
@@ -231,13 +235,15 @@ def line_merge(parts) -> Column:
 
 def repair_ring(ring) -> Column:
     """Drop repeated vertices, close the ring, orient it counter-clockwise; NULL below a triangle."""
-    ring = _c(ring)
-    clean = dedupe_vertices(ring)
-    closed = F.when(first_point(clean) == last_point(clean), clean).otherwise(
-        F.concat(clean, F.array(first_point(clean)))
-    )
-    turned = F.when(signed_ring_area(closed) < 0, F.reverse(closed)).otherwise(closed)
-    return F.when((F.size(closed) >= 4) & (ring_area(closed) > 0), turned)
+
+    def close(clean):
+        return F.when(first_point(clean) == last_point(clean), clean).otherwise(F.concat(clean, F.array(first_point(clean))))
+
+    def orient(closed):
+        return let(signed_ring_area(closed), lambda a: F.when(
+            (F.size(closed) >= 4) & (a != 0), F.when(a < 0, F.reverse(closed)).otherwise(closed)))
+
+    return let(let(dedupe_vertices(_c(ring)), close), orient)
 
 
 def dedupe_vertices(c) -> Column:
@@ -345,6 +351,30 @@ def line_intersects_polygon(c, rings) -> Column:
     return F.exists(rings, lambda r: lines_intersect(c, r)) | point_in_polygon(p["x"], p["y"], rings, True)
 
 
+def cut_half_plane(poly: Column, side) -> Column:
+    """Open ring cut to where ``side(vertex) >= 0``."""
+
+    def emit(s):
+        p, q, sp, sq = s["p"], s["q"], s["sp"], s["sq"]
+        t = sp / (sp - sq)
+        cross = point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
+        return (
+            F.when((sp >= 0) & (sq >= 0), F.array(q))
+            .when((sp >= 0) & (sq < 0), F.array(cross))
+            .when((sp < 0) & (sq >= 0), F.array(cross, q))
+            .otherwise(F.array().cast(LINE))
+        )
+
+    here = F.transform(poly, lambda v: F.struct(point(v["x"], v["y"]).alias("q"), side(v).alias("sq")))
+
+    def pairs(h):
+        before = F.concat(F.slice(h, -1, 1), F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))))
+        return F.zip_with(before, h, lambda a, b: F.struct(a["q"].alias("p"), a["sq"].alias("sp"), b["q"].alias("q"), b["sq"].alias("sq")))
+
+    cut = let(here, lambda h: F.flatten(F.transform(pairs(h), emit)))
+    return F.when(F.size(poly) == 0, poly).otherwise(cut)
+
+
 def clip_ring(subject, convex) -> Column:
     """Subject ring cut by a convex counter-clockwise ring (half-plane by half-plane)."""
     start = F.slice(_c(subject), 1, F.greatest(F.size(_c(subject)) - 1, F.lit(0)))  # open ring
@@ -355,28 +385,13 @@ def clip_ring(subject, convex) -> Column:
         def side(p):
             return ex * (p["y"] - e["ay"]) - ey * (p["x"] - e["ax"])
 
-        def emit(p, i):
-            prev = F.when(i == 0, F.element_at(poly, -1)).otherwise(F.get(poly, i - 1))
-            sp, sq = side(prev), side(p)
-            t = sp / (sp - sq)
-            cross = point(prev["x"] + t * (p["x"] - prev["x"]), prev["y"] + t * (p["y"] - prev["y"]))
-            here = point(p["x"], p["y"])
-            none = F.array().cast(LINE)
-            return (
-                F.when((sp >= 0) & (sq >= 0), F.array(here))
-                .when((sp >= 0) & (sq < 0), F.array(cross))
-                .when((sp < 0) & (sq >= 0), F.array(cross, here))
-                .otherwise(none)
-            )
-
-        return F.when(F.size(poly) == 0, poly).otherwise(F.flatten(F.transform(poly, emit)))
+        return cut_half_plane(poly, side)
 
     return F.aggregate(segments(convex), start, cut)
 
 
 def open_ring_area(c) -> Column:
-    c = _c(c)
-    return F.when(F.size(c) < 3, F.lit(0.0)).otherwise(ring_area(F.concat(c, F.slice(c, 1, 1))))
+    return let(_c(c), lambda r: F.when(F.size(r) < 3, F.lit(0.0)).otherwise(ring_area(F.concat(r, F.slice(r, 1, 1)))))
 
 
 def overlap_area(ring, convex) -> Column:
@@ -411,21 +426,19 @@ def line_points(c, count) -> Column:
         )
         return F.struct((s["d"] + w).alias("d"), F.concat(s["l"], F.array(row)).alias("l"))
 
-    measured = F.aggregate(segments(c), start, step)
+    def place(hit, d):
+        t = F.when(hit["s1"] > hit["s0"], F.least(F.lit(1.0), (d - hit["s0"]) / (hit["s1"] - hit["s0"]))).otherwise(0.0)
+        return let(t, lambda t: point(hit["ax"] + t * (hit["bx"] - hit["ax"]), hit["ay"] + t * (hit["by"] - hit["ay"])))
 
-    def locate(i):
-        d = measured["d"] * i / F.greatest(count - 1, F.lit(1))
-        last = F.element_at(measured["l"], -1)
-        hit = F.coalesce(F.get(F.filter(measured["l"], lambda e: (e["s1"] >= d) & (e["s1"] > e["s0"])), 0), last)
-        t = F.when(hit["s1"] > hit["s0"], (d - hit["s0"]) / (hit["s1"] - hit["s0"])).otherwise(0.0)
-        t = F.least(F.lit(1.0), t)
-        return F.struct(
-            i.cast("int").alias("seq"),
-            (hit["ax"] + t * (hit["bx"] - hit["ax"])).alias("x"),
-            (hit["ay"] + t * (hit["by"] - hit["ay"])).alias("y"),
-        )
+    def locate(m, i):
+        def at(d):
+            hit = F.coalesce(F.get(F.filter(m["l"], lambda e: (e["s1"] >= d) & (e["s1"] > e["s0"])), 0), F.element_at(m["l"], -1))
+            return let(let(hit, lambda h: place(h, d)), lambda p: F.struct(i.cast("int").alias("seq"), p["x"].alias("x"), p["y"].alias("y")))
+
+        return let(m["d"] * i / F.greatest(count - 1, F.lit(1)), at)
 
-    return F.transform(F.sequence(F.lit(0), count.cast("int") - 1), locate)
+    span = F.sequence(F.lit(0), count.cast("int") - 1)
+    return let(F.aggregate(segments(c), start, step), lambda m: F.transform(span, lambda i: locate(m, i)))
 
 
 def samples_by_resolution(length, resolution) -> Column:

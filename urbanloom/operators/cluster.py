@@ -231,20 +231,9 @@ def _voronoi_round(todo: DataFrame, p: DataFrame, key: str, r: float, box: Colum
         def side(v):  # positive on the own side of the bisector
             return (q["x"] - px) * ((q["x"] + px) / 2 - v["x"]) + (q["y"] - py) * ((q["y"] + py) / 2 - v["y"])
 
-        def emit(v, i):
-            prev = F.when(i == 0, F.element_at(poly, -1)).otherwise(F.get(poly, i - 1))
-            sp, sq = side(prev), side(v)
-            t = sp / (sp - sq)
-            x = G.point(prev["x"] + t * (v["x"] - prev["x"]), prev["y"] + t * (v["y"] - prev["y"]))
-            here = G.point(v["x"], v["y"])
-            return (
-                F.when((sp >= 0) & (sq >= 0), F.array(here)).when((sp >= 0) & (sq < 0), F.array(x))
-                .when((sp < 0) & (sq >= 0), F.array(x, here)).otherwise(F.array().cast(G.LINE))
-            )
-
         # a bisector farther than every vertex cannot cut
         reach = F.array_max(F.transform(poly, lambda v: G.hypot2(v["x"] - px, v["y"] - py)))
-        return F.when(q["d"] > 2 * reach, poly).otherwise(F.flatten(F.transform(poly, emit)))
+        return F.when(q["d"] > 2 * reach, poly).otherwise(G.cut_half_plane(poly, side))
 
     ring = F.aggregate("nb", F.slice(box, 1, 4), cut)
     out = got.withColumn("ring", ring)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import geometry as G
-from ..scale import join_on, one_row
+from ..scale import cut_lineage, join_on, one_row
 from .profile import diversity
 from .spatial import cell, cover_cells, mode_by
 from .table import bin_unique_quantile, minmax_norm
@@ -72,6 +72,7 @@ def classify_cells(g: DataFrame) -> DataFrame:
 def cell_centrality(g: DataFrame) -> DataFrame:
     """Weighted index of normalised density, floor area and diversity with its quantile class."""
     cols = ["building_density", "floor_area_ratio", "shannon_diversity"]
+    g = cut_lineage(g)  # read by the extremes, the index and its quantile edges
     n = minmax_norm(g, cols)
     n = n.withColumn("centrality_index", C.weighted_index({
         "building_density_norm": 0.4, "floor_area_ratio_norm": 0.4, "shannon_diversity_norm": 0.2,

@@ -160,7 +160,7 @@ def planar_sector(x, y, azimuth, radius, opening: float = 120.0, steps: int = 30
         F.sequence(F.lit(0), F.lit(steps)),
         lambda i: G.point(x + radius * F.cos(mid - half + i * (2 * half / steps)), y + radius * F.sin(mid - half + i * (2 * half / steps))),
     )
-    return F.when(radius > 0, F.concat(F.array(G.point(x, y)), arc, F.array(G.point(x, y))))
+    return F.when((radius > 0) & azimuth.isNotNull(), F.concat(F.array(G.point(x, y)), arc, F.array(G.point(x, y))))
 
 
 def quick_enrich_all(buildings: DataFrame, landuse: DataFrame, roads: DataFrame, natural: DataFrame) -> dict[str, DataFrame]:
