@@ -29,11 +29,11 @@ def _pick(values: list, index: str) -> str:
 
 
 def _px(k: str) -> str:
-    return f"CAST(({k} * 7919) % 10007 AS DOUBLE)"
+    return f"CAST((({k} % 10007) * ({k} % 10007) * 7 + {k} * 7919) % 10007 AS DOUBLE)"
 
 
 def _py(k: str) -> str:
-    return f"CAST(({k} * 104729) % 10009 AS DOUBLE)"
+    return f"CAST((({k} % 10009) * ({k} % 10009) * 13 + {k} * 104729) % 10009 AS DOUBLE)"
 
 
 VIEWS = {
@@ -91,11 +91,11 @@ class Shapes:
 
     @staticmethod
     def _x(k: Column) -> Column:
-        return ((k * 7919) % 10007).cast("double")
+        return (((k % 10007) * (k % 10007) * 7 + k * 7919) % 10007).cast("double")
 
     @staticmethod
     def _y(k: Column) -> Column:
-        return ((k * 104729) % 10009).cast("double")
+        return (((k % 10009) * (k % 10009) * 13 + k * 104729) % 10009).cast("double")
 
     @staticmethod
     def _of(values: list, index: Column) -> Column:

@@ -15,7 +15,7 @@ from ..operators import telecom as TE
 
 from ..plans.enrich import planar_sector
 from .registry import query
-from .shapes import Shapes
+from .shapes import Shapes, _px, _py
 from .table_queries import _bins
 
 _IN = "b.x > z.x0 AND b.x < z.x1 AND b.y > z.y0 AND b.y < z.y1"
@@ -189,7 +189,7 @@ def station_accessibility(s: Shapes):
     return S.station_accessibility(s.stations(), s.roads(), "erb", "road", "coords", 150.0)
 
 
-@query("sample_stations", "street seq x:4 y:4", """SELECT street, CAST(i AS INTEGER) AS seq, ax + (qx - ax) * i / 2 AS x, ay + (qy - ay) * i / 2 AS y FROM (SELECT street, CAST((src * 7919) % 10007 AS DOUBLE) AS ax, CAST((src * 104729) % 10009 AS DOUBLE) AS ay, CAST((dst * 7919) % 10007 AS DOUBLE) AS qx, CAST((dst * 104729) % 10009 AS DOUBLE) AS qy FROM v_streets), (SELECT unnest([0, 1, 2]) AS i)
+@query("sample_stations", "street seq x:4 y:4", f"""SELECT street, CAST(i AS INTEGER) AS seq, ax + (qx - ax) * i / 2 AS x, ay + (qy - ay) * i / 2 AS y FROM (SELECT street, {_px('src')} AS ax, {_py('src')} AS ay, {_px('dst')} AS qx, {_py('dst')} AS qy FROM v_streets), (SELECT unnest([0, 1, 2]) AS i)
     WHERE sqrt((qx - ax) ** 2 + (qy - ay) ** 2) > 10000""")
 def sample_stations(s: Shapes):
     return S.sample_stations(s.street_lines(), "street", "coords", 10_000.0)
@@ -395,7 +395,7 @@ def cluster_spatial_density(s: Shapes):
 
 
 @query("group_hulls", "sector hull_area:2", """WITH p AS (SELECT DISTINCT sector, x, y FROM v_customers), e AS (SELECT a.sector, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bb FROM p a JOIN p b ON a.sector = b.sector AND (a.x <> b.x OR a.y <> b.y)
-    WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.sector = a.sector AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 OR (c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) > (b.x - a.x) ** 2 + (b.y - a.y) ** 2))))
+    WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.sector = a.sector AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 OR (c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) > (b.x - a.x) ** 2 + (b.y - a.y) ** 2)))))
 --final
 SELECT sector, sum(ax * bb - bx * ay) / 2 AS hull_area FROM e GROUP BY sector""")
 def group_hulls(s: Shapes):
