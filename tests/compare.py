@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import signal
 import sys
 import time
 
@@ -75,13 +76,21 @@ def main():
     qs, sqls = queries(), oracle_sql()
     only = sys.argv[1:]
     bad = 0
+    limit = int(os.environ.get("QUERY_SECONDS", "120"))
+
+    def late(*_):
+        raise TimeoutError(f"over {limit} s")
+
+    signal.signal(signal.SIGALRM, late)
     for n, fn in qs.items():
         if only and not any(o == n or (o.endswith("*") and n.startswith(o[:-1])) for o in only):
             continue
+        signal.alarm(limit)
         try:
             ok, msg, took = compare(spark, con, n, fn, sqls.get(n), sf)
         except Exception as e:
             ok, msg, took = False, f"{type(e).__name__}: {str(e)[:600]}", 0.0
+        signal.alarm(0)
         bad += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {n} {took:.1f}s {msg}", flush=True)
     print("failures:", bad)

@@ -31,7 +31,7 @@ _LINE = """WITH p AS (SELECT road, ax, ay, qx, qy, len, greatest(10, CAST(floor(
     g AS (SELECT road, max(len) AS len, min(value) AS elevation_min, max(value) AS elevation_max, avg(value) AS elevation_mean, abs(arg_max(value, i) - arg_min(value, i)) / max(len) * 100 AS slope_pct FROM t GROUP BY road)"""
 
 
-@query("sample_lines", "road elevation_min elevation_max elevation_mean:8 elevation_range:8 slope_pct:8 slope_deg:8 slope_class", f"""{_LINE}
+@query("sample_lines", "road elevation_min elevation_max elevation_mean:9 elevation_range:8 slope_pct:8 slope_deg:8 slope_class", f"""{_LINE}
 --final
 SELECT road, elevation_min, elevation_max, elevation_mean, elevation_max - elevation_min AS elevation_range, slope_pct, degrees(atan(slope_pct / 100)) AS slope_deg, {_bins('coalesce(slope_pct, 0)', 'road_slope', incl=True)} AS slope_class FROM v_roads LEFT JOIN g USING (road)""")
 def sample_lines(s: Shapes):
@@ -39,7 +39,7 @@ def sample_lines(s: Shapes):
     return R.sample_lines(s.roads().withColumn("coords", first), "road", "coords", s.cells(), AFFINE)
 
 
-@query("zonal_stats", "zone cells elevation_min elevation_max elevation_mean:8 elevation_std:8 elevation_median:8 elevation_percentile_10:8 elevation_percentile_90:8 hypsometric_integral:9", f"""SELECT v_zones.zone, cells, a AS elevation_min, b AS elevation_max, m AS elevation_mean, sd AS elevation_std, med AS elevation_median, q1 AS elevation_percentile_10, q9 AS elevation_percentile_90, CASE WHEN b > a THEN (m - a) / (b - a) WHEN m IS NOT NULL THEN 0.5 END AS hypsometric_integral
+@query("zonal_stats", "zone cells elevation_min elevation_max elevation_mean:9 elevation_std:8 elevation_median:9 elevation_percentile_10:9 elevation_percentile_90:9 hypsometric_integral:9", f"""SELECT v_zones.zone, cells, a AS elevation_min, b AS elevation_max, m AS elevation_mean, sd AS elevation_std, med AS elevation_median, q1 AS elevation_percentile_10, q9 AS elevation_percentile_90, CASE WHEN b > a THEN (m - a) / (b - a) WHEN m IS NOT NULL THEN 0.5 END AS hypsometric_integral
     FROM v_zones LEFT JOIN (SELECT zone, count(*) AS cells, min(value) AS a, max(value) AS b, avg(value) AS m, stddev_pop(value) AS sd, median(value) AS med, quantile_cont(value, 0.1) AS q1, quantile_cont(value, 0.9) AS q9 FROM ({_ZC}) GROUP BY zone) g ON g.zone = v_zones.zone""")
 def zonal_stats(s: Shapes):
     return R.zonal_stats(s.zones(), "zone", "rings", s.cells(), AFFINE, 500.0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..scale import cut_lineage, one_row, with_position
+from ..scale import cut_lineage, one_row, round_table, with_position
 from .spatial import cell, nearest_join
 
 # ---- building -------------------------------------------------------------------------------------
@@ -115,7 +115,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
         # link the smaller neighbours of a node to their minimum
         least = up.groupBy("u").agg(F.min("v").alias("m"))
         down = up.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = round_table(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
@@ -323,8 +323,8 @@ def place_clusters(points: DataFrame, key: str, tol: float) -> DataFrame:
     first = points.groupBy("x", "y").agg(F.min(key).alias("_rep"))
     pairs = close_pairs(points, key, tol).select(F.col("id1").alias("src"), F.col("id2").alias("dst"))
     cc = connected_components(pairs, first.select(F.col("_rep").alias("node")))
-    j = points.join(first, ["x", "y"]).join(cc, F.col("_rep") == F.col("node"))
-    return j.select(key, F.col("component").alias("cluster"))
+    rep = points.join(first, ["x", "y"]).select(key, "_rep")
+    return rep.join(cc.select(F.col("node").alias("_rep"), F.col("component").alias("cluster")), "_rep").select(key, "cluster")
 
 
 def merge_nodes(nodes: DataFrame, edges: DataFrame, tol: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -425,11 +425,11 @@ def flow_accumulation(edges: DataFrame, weight: str = "weight", max_rounds: int
     acc, paths = cut_lineage(acc), cut_lineage(e)
     for _ in range(max_rounds):
         add = paths.join(acc, paths["src"] == acc["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("acc")).alias("_x"))
-        acc = cut_lineage(acc.join(add, "node", "left").select("node", (F.col("acc") + F.coalesce("_x", F.lit(0.0))).alias("acc")))
+        acc = round_table(acc.join(add, "node", "left").select("node", (F.col("acc") + F.coalesce("_x", F.lit(0.0))).alias("acc")))
         a = paths.select("src", F.col("dst").alias("mid"), F.col("w").alias("w1"))
         b = paths.select(F.col("src").alias("mid"), "dst", F.col("w").alias("w2"))
         nxt = a.join(b, "mid").groupBy("src", "dst").agg(F.sum(F.col("w1") * F.col("w2")).alias("w"))
-        paths = cut_lineage(nxt)
+        paths = round_table(nxt)
         if paths.isEmpty():
             return acc
     raise ValueError("the network has a cycle")
@@ -450,7 +450,7 @@ def communities(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
         best = v.groupBy("src", "old").agg(
             F.min(F.struct((-F.col("c")).alias("c"), (F.col("label") != F.col("old")).alias("moved"), "label")).alias("b")
         )
-        lab = cut_lineage(best.select(F.col("src").alias("node"), F.col("b.label").alias("label")))
+        lab = round_table(best.select(F.col("src").alias("node"), F.col("b.label").alias("label")))
         now = tuple(lab.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first())
         if now in seen:
             break

@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -50,11 +51,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so an iterative plan stays short and survives executor loss."""
+    """Reliable checkpoint: an iterative plan stays short and survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def round_table(df: DataFrame) -> DataFrame:
+    """One round of an iteration as a table in the checkpoint folder, with its true size.
+
+    A checkpoint keeps the *estimated* size of its plan. In a loop of self-joins that estimate is squared
+    every round; a written table starts each round from the size on disk, so the planner can also
+    broadcast what turned out small.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def one_row(df: DataFrame, **aggs: Column) -> Column:
     """Struct column holding global aggregates of ``df``; read fields with ``s["name"]``."""
     return df.agg(F.struct(*[c.alias(k) for k, c in aggs.items()]).alias("s")).scalar()
