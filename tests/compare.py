@@ -57,8 +57,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if a == b:
         odd = [f"{c}:{k}/{kinds[c]}" for c, k in df.dtypes if not _same_kind(k, kinds[c])]
         return True, f"{len(a)} rows, sql {oracle:.1f}s" + (f" TYPES {odd}" if odd else ""), took
-    only_a = [r for r in a if r not in set(b)][:3]
-    only_b = [r for r in b if r not in set(a)][:3]
+    left, right = set(a), set(b)
+    only_a = [r for r in a if r not in right][:3]
+    only_b = [r for r in b if r not in left][:3]
     return False, f"{len(a)} against {len(b)} rows\n   spark {only_a}\n   sql   {only_b}", took
 
 

@@ -183,7 +183,7 @@ def population_by_hour(s: Shapes):
     return out.withColumn("categoria_variacao_pop", PO.named_bin(F.round("pop_variacao_rel", 9), "variation"))
 
 
-_PROFILE_SQL = f"SELECT id, kind, {_words('kind', {k: v for t in (L.PROFILE_WORDS, L.USE_WORDS, L.PROFILE_FALLBACK) for k, v in ((f'{n}|{i}', w) for i, (n, w) in enumerate(t.items()))}, 'default', 'default')} AS p0 FROM v_bld"
+_PROFILE_SQL = f"SELECT id, kind, {_words('kind', {f'{n}|{i}': w for i, t in enumerate((L.PROFILE_WORDS, L.USE_WORDS, L.PROFILE_FALLBACK)) for n, w in t.items()}, 'default', 'default')} AS p0 FROM v_bld"
 
 
 @query("assign_profile", "kind temporal_profile n", f"SELECT kind, split_part(p0, '|', 1) AS temporal_profile, count(*) AS n FROM ({_PROFILE_SQL}) GROUP BY ALL")
@@ -348,9 +348,7 @@ def integrated_flood_risk(s: Shapes):
 
 @query("prepare_roads", "road length_km:7 sinuosity:7 road_class", f"SELECT r.road, len / 1000 AS length_km, len / nullif(sqrt((c[len(c)].x - c[1].x) ** 2 + (c[len(c)].y - c[1].y) ** 2), 0) AS sinuosity, {_case('r.highway', L.ROAD_CLASS, 'other')} AS road_class FROM v_roads r JOIN v_roadlen USING (road)")
 def prepare_roads(s: Shapes):
-    d = PR.prepare_roads(s.roads().withColumnRenamed("highway", " Highway"), "road")
-    # straight lines sit at 1 within floating error, so the lower bound is rounded away
-    return d.withColumn("sinuosity", F.coalesce("sinuosity", F.when(F.size("coords") == 2, F.lit(1.0))))
+    return PR.prepare_roads(s.roads().withColumnRenamed("highway", " Highway"), "road")
 
 
 @query("prepare_railways", "road electrified operator gauge_mm length_km:7", "SELECT road, CASE WHEN road % 2 = 0 THEN 'contact_line' ELSE 'unknown' END AS electrified, CASE WHEN road % 3 = 0 THEN 'ALL' END AS operator, 1000.0::DOUBLE AS gauge_mm, len / 1000 AS length_km FROM v_roadlen")

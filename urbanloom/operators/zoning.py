@@ -92,19 +92,22 @@ def zoning_conformity(df: DataFrame, landuse: str, cls: str = "building_class_en
     """Conformity, level and rule text: full class then main class, allowed before conditional before forbidden."""
     zone, c = F.col("_zone"), F.col(cls)
     main = F.when(F.contains(c, F.lit("_")), F.split_part(c, F.lit("_"), F.lit(1)))
-
-    def starts(text: Column, prefixes: list[str]) -> Column:
-        return F.coalesce(reduce(lambda a, b: a | b, [F.startswith(text, F.lit(p)) for p in prefixes]), F.lit(False))
-
-    level = F.when(zone.isNull() | c.isNull(), F.lit(None).cast("string"))
-    used = F.when(zone.isNull() | c.isNull(), F.lit(None).cast("string"))
+    by_zone: dict[str, list[Column]] = {}
     for z, lv, prefixes in L.ZONING_RULES:
-        for text in (c, main):
-            cond = (zone == z) & starts(text, prefixes)
-            level, used = level.when(cond, F.lit(lv)), used.when(cond, text)
-    out = df.withColumn("_zone", zone_of(landuse)).withColumns({
-        "nivel_conformidade": level.when(zone.isNotNull(), F.lit("desconhecido")), "_used": used,
-    })
+        rule = F.struct(F.lit(lv).alias("level"), F.array(*[F.lit(p) for p in prefixes]).alias("prefixes"))
+        by_zone.setdefault(z, []).append(rule)
+    table = F.create_map(*[x for z, rules in by_zone.items() for x in (F.lit(z), F.array(*rules))])
+
+    def starts(text: Column, prefixes: Column) -> Column:
+        return F.coalesce(F.exists(prefixes, lambda p: F.startswith(text, p)), F.lit(False))
+
+    tried = F.transform(F.try_element_at(table, zone), lambda r: F.struct(
+        r["level"].alias("level"), F.when(starts(c, r["prefixes"]), c).when(starts(main, r["prefixes"]), main).alias("used")))
+    both = zone.isNotNull() & c.isNotNull()
+    out = df.withColumn("_zone", zone_of(landuse)).withColumn("_hit", F.get(F.filter(tried, lambda r: r["used"].isNotNull()), 0))
+    out = out.withColumns({
+        "nivel_conformidade": F.when(both, F.coalesce("_hit.level", F.lit("desconhecido"))), "_used": F.col("_hit.used"),
+    }).drop("_hit")
     lv = F.col("nivel_conformidade")
     status = F.when(lv.isin("permitido", "condicional"), "conforme").when(lv == "proibido", "não conforme").when(lv.isNotNull(), "não avaliado")
     rule = F.when(

@@ -27,9 +27,10 @@ def prepare_lines(df: DataFrame, key: str, layer: str = "roads", aoi: DataFrame
     d = T.clean_columns(df)
     d = _aoi(d, aoi, "coords", line_meets_polygon("l_coords", "r_rings"), key, size, on_empty)
     d = T.repair_lines(d, "coords")
+    if layer == "roads":  # roads check the columns they came with; railways check after measuring
+        d = T.null_out_of_range(d, L.RANGES["roads"])
     d = d.withColumns({"length_km": G.line_length("coords") / 1000, "sinuosity": G.sinuosity("coords")})
     if layer == "roads":
-        d = T.null_out_of_range(d, L.RANGES["roads"])
         return d.withColumn("road_class", map_class("highway", L.ROAD_CLASS, "other"))
     d = d.withColumns({
         "gauge_mm": tags.tag_value("other_tags", "gauge").try_cast("double"),
