@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENCODINGS = ["utf-8", "latin1", "cp1252", "ISO-8859-1"]
+# latin1 under its Spark name; every byte decodes in it, so nothing after it could be reached
+ENCODINGS = ["utf-8", "iso-8859-1"]
 DELIMITERS = [";", ",", "\t", "|"]
 
 
@@ -35,12 +36,12 @@ def read_csv_sniff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_best_delimiter(spark: SparkSession, path: str) -> DataFrame:
-    """Separator occurring most often in the header; utf-8, else latin1."""
+    """Separator occurring most often in the header; utf-8, else iso-8859-1."""
     head = header_line(spark, path)
     if not head.strip():
         raise ValueError("the table is empty")
     sep = max(DELIMITERS, key=head.count)
-    enc = "utf-8" if _decodes(spark, path, "utf-8") else "latin1"
+    enc = "utf-8" if _decodes(spark, path, "utf-8") else "iso-8859-1"
     return spark.read.csv(path, header=True, sep=sep, encoding=enc)
 
 

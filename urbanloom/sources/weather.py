@@ -26,12 +26,12 @@ def read_weather(spark: SparkSession, path: str, include_radiation: bool = True,
     Files are read whole per row (a station-year is under a megabyte), so header and body stay together
     without any shuffle.
     """
-    r = spark.read.option("wholetext", "true")
+    r = spark.read
     if recursive:
         r = r.option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    raw = r.text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("l"))
+    raw = r.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("l"))
     head = F.slice("l", 1, HEADER_LINES)
 
     def station(key: str) -> Column:
