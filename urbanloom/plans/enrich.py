@@ -50,18 +50,19 @@ def enrich_buildings(df: DataFrame, key: str, roads: DataFrame, road_key: str, d
     d = df.withColumns({"height": hh, "levels": lv})
     d = building_shape(d)
     c = G.ring_centroid("ring")
-    d = cut_lineage(d.withColumns({"x": c["x"], "y": c["y"]}))
-    cl = CL.dbscan(CL.standardise(d.select(key, "x", "y")), key, eps, min_samples).select(key, "cluster_id")
-    d = d.join(cl, key)
-    stats = CL.cluster_stats(d)
-    d = CL.cluster_back_join(d, stats, ["cluster_class", "density", "type_diversity"]).withColumnRenamed("density", "cluster_density")
-    near = S.nearest_line(d.select(key, "x", "y"), roads, key, road_key, "coords").drop("x", "y").withColumnRenamed("distance", "distance_to_road")
-    d = d.join(near, key, "left")
-    d = d.join(S.line_density_within(d.select(key, "x", "y"), roads, key, road_key, "coords"), key, "left")
-    d = R.sample_points(d, dem, affine, "height")
-    d = d.join(R.focal_slope(d.select(key, "x", "y"), key, dem, affine), key, "left")
-    cells = GD.cell_centrality(GD.classify_cells(GD.grid_morphology(S.with_box(d, "ring"), cell)))
-    return GD.grid_back_join(d, cells, cell, ["urban_typology", "centrality_index", "centrality_class"]).drop("cx", "cy")
+    base = cut_lineage(d.withColumns({"x": c["x"], "y": c["y"]}))  # read by every step below
+    at = base.select(key, "x", "y")
+    cl = cut_lineage(CL.dbscan(CL.standardise(at), key, eps, min_samples).select(key, "cluster_id"))
+    stats = CL.cluster_stats(base.join(cl, key)).select("cluster_id", "cluster_class", F.col("density").alias("cluster_density"), "type_diversity")
+    near = S.nearest_line(at, roads, key, road_key, "coords").drop("x", "y").withColumnRenamed("distance", "distance_to_road")
+    dens = S.line_density_within(at, roads, key, road_key, "coords")
+    elev = R.sample_points(base.select(key, "x", "y", "height"), dem, affine, "height").drop("x", "y", "height")
+    slope = R.focal_slope(at, key, dem, affine)
+    cells = cut_lineage(GD.cell_centrality(GD.classify_cells(GD.grid_morphology(S.with_box(base, "ring"), cell))))
+    out = base.join(cl, key).join(stats, "cluster_id", "left")
+    for side in (near, dens, elev, slope):
+        out = out.join(side, key, "left")
+    return GD.grid_back_join(out, cells, cell, ["urban_typology", "centrality_index", "centrality_class"]).drop("cx", "cy")
 
 
 def enrich_roads(df: DataFrame, key: str, dem: DataFrame, affine: R.Affine, k: int | None = None) -> DataFrame:
