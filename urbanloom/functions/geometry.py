@@ -147,8 +147,7 @@ def shape_index(area, perimeter) -> Column:
 def sinuosity(c, closed: str = "null") -> Column:
     """Length over straight distance; ``closed`` lines give null, one, inf or zero."""
     value = {"null": F.lit(None).cast("double"), "one": F.lit(1.0), "inf": F.lit(float("inf")), "zero": F.lit(0.0)}
-    d = straight_length(c)
-    return F.when(d > 0, line_length(c) / d).when(d == 0, value[closed])
+    return let(straight_length(c), lambda d: F.when(d > 0, line_length(c) / d).when(d == 0, value[closed]))
 
 
 def multi_sinuosity(parts, mode: str = "longest", closed: str = "one") -> Column:
@@ -338,17 +337,18 @@ def polygons_intersect(r1, r2) -> Column:
     r1, r2 = _c(r1), _c(r2)
     edge = F.exists(r1, lambda a: F.exists(r2, lambda b: lines_intersect(a, b)))
     p1, p2 = F.get(F.get(r1, 0), 0), F.get(F.get(r2, 0), 0)
+    # containment is the cheap test, so it goes first
     return (
-        edge
-        | point_in_polygon(p1["x"], p1["y"], r2, True)
+        point_in_polygon(p1["x"], p1["y"], r2, True)
         | point_in_polygon(p2["x"], p2["y"], r1, True)
+        | edge
     )
 
 
 def line_intersects_polygon(c, rings) -> Column:
     c, rings = _c(c), _c(rings)
     p = F.get(c, 0)
-    return F.exists(rings, lambda r: lines_intersect(c, r)) | point_in_polygon(p["x"], p["y"], rings, True)
+    return point_in_polygon(p["x"], p["y"], rings, True) | F.exists(rings, lambda r: lines_intersect(c, r))
 
 
 def cut_half_plane(poly: Column, side) -> Column:
