@@ -148,10 +148,10 @@ def nearest_line(s: Shapes):
 
 @query("nearest_sampled", "erb close", f"""SELECT s.erb, coalesce(min(dist), 1e9) <= 60 AS close FROM v_stations s LEFT JOIN ({_near_sql('v_stations', 'erb', 60)}) n ON n.erb = s.erb GROUP BY s.erb""")
 def nearest_sampled(s: Shapes):
-    # a sample lies at most half a step (20 m) from the exact nearest position
+    # n = max(2, int(L / 10)) samples leave gaps below 30 m, so the nearest sample is within 15 m along the line
     exact = S.nearest_line(s.stations().select("erb", "x", "y"), s.roads(), "erb", "road", "coords", 60.0).select("erb", F.col("distance").alias("d"))
     n = S.nearest_sampled(s.stations().select("erb", "x", "y"), s.roads(), "erb", "road", "coords", 10.0).join(exact, "erb")
-    ok = F.when(F.col("d").isNull(), F.col("distance") > 60).otherwise((F.col("distance") >= F.col("d") - 1e-6) & (F.col("distance") <= F.sqrt(F.col("d") * F.col("d") + 100) + 1e-6))
+    ok = F.when(F.col("d").isNull(), F.col("distance") > 60).otherwise((F.col("distance") >= F.col("d") - 1e-6) & (F.col("distance") <= F.sqrt(F.col("d") * F.col("d") + 225) + 1e-6))
     return n.where(ok).select("erb", F.col("d").isNotNull().alias("close"))
 
 
