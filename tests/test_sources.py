@@ -11,7 +11,7 @@ from urbanloom.sources import tables as TB
 from urbanloom.sources import weather as W
 from urbanloom.streaming import daily_stream
 
-HEAD = "REGIAO:;SE\nUF:;SP\nESTACAO:;SOROCABA\nCODIGO (WMO):;A713\nLATITUDE:;-23,42\nLONGITUDE:;-47,58\nALTITUDE:;609\nDATA DE FUNDACAO:;2006\n"
+HEAD = "REGIAO:;SE\nUF:;SP\nESTACAO:;CENTRO\nCODIGO (WMO):;A713\nLATITUDE:;-23,42\nLONGITUDE:;-47,58\nALTITUDE:;609\nDATA DE FUNDACAO:;2006\n"
 COLS = "DATA (YYYY-MM-DD);HORA (UTC);PRECIPITAÇÃO TOTAL, HORÁRIO (mm);RADIACAO GLOBAL (KJ/m²);TEMPERATURA DO AR - BULBO SECO, HORARIA (°C);\n"
 
 
@@ -23,7 +23,7 @@ def test_weather_files(spark, tmp_path):
     rows = W.read_weather_dir(spark, str(tmp_path)).orderBy("date", "time_utc").collect()
     assert len(rows) == 4
     r = rows[0]
-    assert (r["precipitation_mm"], r["radiation_kjm2"], r["temperature_c"], r["latitude"], r["station"], r["region"]) == (1.5, 1234.5, 20.25, -23.42, "SOROCABA", "SE")
+    assert (r["precipitation_mm"], r["radiation_kjm2"], r["temperature_c"], r["latitude"], r["station"], r["region"]) == (1.5, 1234.5, 20.25, -23.42, "CENTRO", "SE")
     assert rows[1]["precipitation_mm"] is None and str(rows[1]["date"]) == "2024-01-01"
 
 
