@@ -9,8 +9,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -40,16 +43,40 @@ def session(app: str = "urbanloom", cpus: str | int = "*", partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's ``spark.checkpoint.dir``, else a fresh one."""
+    """Folder for checkpoints: the cluster's ``spark.checkpoint.dir``.
+
+    Only a local master, where driver and executors are one process, falls back to a fresh temporary folder.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the Python workers, once per Spark context.
+
+    Spark's file server hands the archive out, so workers need neither a shared folder nor a set path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_urbanloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "urbanloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.join("urbanloom", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._urbanloom_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: an iterative plan stays short and survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -204,10 +231,3 @@ def with_running_total(
     offsets = sizes.select(F.col("_pid"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
     out = p.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_run") + F.col("_off"))
     return out.drop("_pid", "_idx", "_mid", "_off", "_run")
-
-
-def broadcast_if_small(df: DataFrame, limit_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only after a bounded count proves ``df`` small; otherwise leave it to a shuffle."""
-    if df.limit(limit_rows + 1).count() <= limit_rows:
-        return F.broadcast(df)
-    return df
