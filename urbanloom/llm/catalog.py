@@ -33,8 +33,30 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), "text", "lang", "doc_id")
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_classifier as Q
+
+    crc = F.crc32(F.col("doc_id").cast("string")) % 3
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    found = Q.score(docs, Q.fit(docs, labels.where(crc != 1)))
+    return found.select(
+        "doc_id", F.coalesce(crc == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op4_exact_dedup, op6_mixing)
+    f.__name__: f for f in (op1_packing, op4_exact_dedup, op6_mixing, op7_language_id, op9_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {
