@@ -27,6 +27,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir), keep="largest")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -56,7 +62,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op4_exact_dedup, op6_mixing, op7_language_id, op9_quality_classifier)
+    f.__name__: f for f in (op1_packing, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_language_id, op9_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {
