@@ -61,8 +61,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_language_id, op9_quality_classifier)
+    f.__name__: f for f in (op1_packing, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_language_id, op9_quality_classifier, op10_suffix_array_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
