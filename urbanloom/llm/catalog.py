@@ -21,6 +21,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), tokenizer).drop("ids")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(_documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_duplicates
 
@@ -68,7 +80,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_language_id, op9_quality_classifier, op10_suffix_array_dedup)
+    f.__name__: f for f in (op1_packing, op2_html_text, op3_quality_rules, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_language_id, op9_quality_classifier, op10_suffix_array_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
