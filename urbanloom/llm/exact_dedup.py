@@ -1,8 +1,9 @@
 """Exact duplicates by a 128-bit content hash, with the bytes compared inside every group.
 
 DataFrame functions only. The light table ``(id, hash)`` is aggregated first (partial sums before the shuffle), so
-a group of any size is one row per hash and task. Texts move once, keyed by hash, and again only for rows whose
-hash occurs more than once; both joins stand alone between exchanges, so the runtime can split a hot group.
+a group of any size is one row per hash and task. Texts move once, keyed by hash; the rows whose hash occurs more than
+once are written to the shared folder, and only those move again. Both joins stand alone between exchanges, so the
+runtime can split a hot group.
 
 Defined results: a null text counts as empty; a null id sorts below every other id; rows that repeat both id and
 text belong to one document (all of them report ``kept``; ``deduplicate`` leaves one of them); an empty table gives
@@ -16,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.scale import round_table
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -56,7 +59,7 @@ def exact_duplicates(
     light = rows.select("_id", "_h", sha.alias("_sha")).join(groups, "_h")
     single = light.where("_n = 1").select("_id", F.col("_id").alias("_keep"), "_n", "_sha")
     # texts of one hash: each row against the row that would stay
-    several = rows.join(groups.where("_n > 1"), "_h")
+    several = round_table(rows.join(groups.where("_n > 1"), "_h"))
     stays = several.where(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_h", "_keep").agg(F.min("_t").alias("_rep"))
     stays = stays.select(F.col("_h").alias("_rh"), F.col("_keep").alias("_rid"), "_rep")
     met = several.select("_id", "_h", "_t", "_keep", "_n", sha.alias("_sha")).join(
