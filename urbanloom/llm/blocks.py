@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 3 << 20
@@ -30,6 +30,19 @@ def block_table(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
     return docs.select(block.alias("block"), F.col(id_col).cast("long").alias("id"), text.alias("text")), n
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def longs(col: pa.ChunkedArray) -> np.ndarray:
     """64-bit ids; a null is the smallest."""
     return col.fill_null(NO_ID).to_numpy().astype(np.int64, copy=False)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from urbanloom.scale import round_table
 
+from .blocks import whole_row
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -91,8 +93,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = found.where("kept").groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("_copies"))
     kept = kept.select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha"), "_copies")
     sha = F.sha2(fold_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    names = docs.columns
-    held = docs.select(F.struct(*names).alias("_row"), F.col(id_col).alias("_did"), sha.alias("_dsha")).join(
+    held = docs.select(whole_row(docs).alias("_row"), F.col(id_col).alias("_did"), sha.alias("_dsha")).join(
         kept, F.col("_did").eqNullSafe(F.col("_kid")) & (F.col("_dsha") == F.col("_ksha"))
     )
     once = held.where("_copies = 1").select("_row")

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import whole_row
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -99,7 +101,7 @@ def mix(
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_src"), size.alias("_size"),
         F.pmod(key, F.lit(shards)).cast("long").alias("_shard"), F.xxhash64(F.lit(seed + 1), F.col(id_col)).alias("_key"),
-        *([F.struct(*docs.columns).alias("_row")] if row else []),
+        *([whole_row(docs).alias("_row")] if row else []),
     )
     rows = rows.repartition("_shard", "_src")  # words are counted once; totals and running sums share this exchange
     cells = rows.groupBy("_shard", "_src").agg(F.sum("_size").alias("_cell"))

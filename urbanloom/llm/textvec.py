@@ -99,6 +99,14 @@ def window_hashes(items: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * powers(inverse, len(items) + 1)[: len(items) - n + 1])
 
 
+def range_hashes(items: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of the items in every range ``[start, end)``."""
+    _, factor, inverse = _bases(seed)
+    sums = np.zeros(len(items) + 1, dtype=np.uint64)
+    np.cumsum(mix(items + np.uint64(seed)) * powers(factor, len(items)), out=sums[1:])
+    return mix((sums[end] - sums[start]) * powers(inverse, len(items) + 1)[start] + (end - start).astype(np.uint64))
+
+
 def text_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of ``values`` (one row per item) over each text's ``[bounds[i], bounds[i + 1])``."""
     sums = np.zeros((len(values) + 1, *values.shape[1:]), dtype=np.float64)
