@@ -96,7 +96,7 @@ def test_text_statistics(documents):
 
 def test_rules_reject_outliers_only(documents):
     rng = random.Random(8)
-    rows = [(i, prose(rng, lang, rng.randint(20, 300)), lang, src) for i in range(400)
+    rows = [(i, prose(rng, lang or "en", rng.randint(20, 300)), lang, src) for i in range(400)
             for lang, src in [(rng.choice(["en", "de", None]), rng.choice(["s", "s", None]))]]
     odd = [(1000 + i, " ".join(w + "***" for w in prose(rng, "en", 80).split()), "en", "s") for i in range(20)]
     few = [(2000, "one two", "en", "s"), (2001, None, "en", "s"), (2002, "word " * 60, "xx", "rare"), (2003, prose(rng, "fr", 60), "fr", "rare")]

@@ -209,9 +209,12 @@ def main_text(page: str | None, threshold: float = 0.2) -> str:
         # an article's own blocks need no high ratio, only text that is not mostly links
         return scores[b.path] >= threshold * best or (b.path in articles and 2 * b.linked <= len(b.text))
 
-    if articles:  # where the page names its article, paths outside must match it on their own
-        return "\n".join(b.text for b in blocks if chosen(b) and (b.within or scores[b.path] >= best / 2))
-    return "\n".join(b.text for b in blocks if chosen(b))
+    found = [b for b in blocks if chosen(b)]
+    inside = [b for b in found if b.within]
+    # a page that names its article has its text there, unless that is only a teaser
+    if inside and 10 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in found):
+        found = inside
+    return "\n".join(b.text for b in found)
 
 
 def extract(
