@@ -89,9 +89,56 @@ def test_betweenness_both_ways(spark):
         adj[b].append((a, w))
     e = spark.createDataFrame([(a, b, w) for (a, b), w in ws.items()], "src long, dst long, w double")
     want = brute_betweenness(n, adj)
-    for limit in (1000, 1):  # broadcast search, then joins only
-        got = {r["node"]: r["betweenness"] for r in CE.betweenness(e, "w", edge_limit=limit).collect()}
-        assert got == pytest.approx(want)
+    got = {r["node"]: r["betweenness"] for r in CE.betweenness(e, "w").collect()}
+    assert got == pytest.approx(want)
+
+
+def test_zero_weights_and_rounding_ties(spark):
+    # a ring of weight-0 edges hangs on both sides of a bridge; the search must end and spread over ties
+    ring = [(0, 1, 0.0), (1, 2, 0.0), (2, 0, 0.0), (2, 3, 1.0), (3, 4, 0.0), (4, 5, 0.0), (5, 3, 0.0)]
+    e = spark.createDataFrame(ring, "src long, dst long, w double")
+    b = {r["node"]: r["betweenness"] for r in CE.betweenness(e, "w").collect()}
+    assert b[2] == b[3] == pytest.approx(12 / 20) and b[0] == b[1] == b[4] == b[5] == 0
+    # 0.1 + 0.2 and 0.3 tie although their doubles differ
+    tie = [(0, 1, 0.1), (1, 3, 0.2), (0, 2, 0.2), (2, 3, 0.1), (0, 4, 0.15), (4, 3, 0.15)]
+    e = spark.createDataFrame(tie, "src long, dst long, w double")
+    b = {r["node"]: r["betweenness"] for r in CE.betweenness(e, "w").collect()}
+    assert b[1] == pytest.approx(b[2]) == pytest.approx(b[4])
+
+
+def test_sampled_closeness_covers_every_node(spark):
+    e = edges(spark, [(i, i + 1) for i in range(30)])
+    exact = {r["node"]: r["closeness"] for r in CE.closeness(e).collect()}
+    full = {r["node"]: r["closeness"] for r in CE.closeness(e, k=31).collect()}
+    part = {r["node"]: r["closeness"] for r in CE.closeness(e, k=12).collect()}
+    assert full == pytest.approx(exact)
+    assert part.keys() == exact.keys() and all(v > 0 for v in part.values())
+    both = CE.centralities(e, None, 5).collect()
+    assert len(both) == 31 and all(r["closeness"] is not None for r in both)
+
+
+def test_flow_on_a_braided_network(spark):
+    rows = [(3 * i + a, 3 * i + 3 + b, 0.5) for i in range(20) for a in range(3) for b in range(3)]
+    e = spark.createDataFrame(rows, "src long, dst long, weight double")
+    acc = {r["node"]: r["acc"] for r in GR.flow_accumulation(e).collect()}
+    assert len(acc) == 63 and all(acc[3 * 20 + b] == pytest.approx(1.5 ** 20) for b in range(3))
+    with pytest.raises(ValueError):
+        GR.flow_accumulation(spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0)], "src long, dst long, weight double"))
+
+
+def test_parallel_edges_stay(spark):
+    e = spark.createDataFrame([(1, 2, 10, 1.0), (1, 2, 11, 2.0), (1, 3, 12, 1.0), (3, 2, 13, 1.0), (2, 9, 14, 1.0), (1, 8, 15, 1.0)],
+                              "src long, dst long, id long, length double")
+    got = {r["id"] for r in GR.contract_degree2(e, "id").collect()}
+    assert got == {10, 11, 14, 15}  # the chain 12-13 would only double them
+
+
+def test_communities_settle(spark):
+    e = edges(spark, [(i, i + 1) for i in range(60)])
+    c = {r["node"]: r["community"] for r in GR.communities(e).collect()}
+    near = {i: [c[j] for j in (i - 1, i + 1) if j in c] for i in c}
+    for i, labels in near.items():  # nobody has a commoner label around than its own
+        assert max(labels.count(x) for x in labels) <= labels.count(c[i])
 
 
 def test_components_and_indices(spark):
@@ -116,7 +163,7 @@ def test_flow(spark):
     got = {r["node"]: r["acc"] for r in GR.flow_accumulation(e).collect()}
     assert got[3] == pytest.approx(2 / 7) and got[4] == pytest.approx(2 / 49)
     with pytest.raises(ValueError):
-        GR.flow_accumulation(spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "src long, dst long, weight double"), max_rounds=6)
+        GR.flow_accumulation(spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "src long, dst long, weight double"))
 
 
 def test_dbscan_against_brute_force(spark):

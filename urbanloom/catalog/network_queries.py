@@ -180,21 +180,37 @@ def avg_clustering(s: Shapes):
     return GR.avg_clustering(_simple(s))
 
 
-@query("betweenness", "node betweenness:9")
+def _dependencies(k: int) -> str:
+    """Common tables for hop betweenness from k sampled sources: path counts ``sg``, dependencies ``y``."""
+    return f"""src AS (SELECT node FROM ({_NODES}) ORDER BY md5(CAST(node AS VARCHAR) || ':42'), node LIMIT {k}),
+    bk(s, v, d) USING KEY (s, v) AS (SELECT node, node, 0 FROM src UNION SELECT b.s, e.dst, min(b.d) + 1 FROM bk b JOIN v_both e ON e.src = b.v LEFT JOIN recurring.bk r ON r.s = b.s AND r.v = e.dst WHERE r.v IS NULL GROUP BY b.s, e.dst),
+    dag AS MATERIALIZED (SELECT DISTINCT a.s, a.v AS u, b.v AS t FROM bk a JOIN v_both e ON e.src = a.v JOIN bk b ON b.s = a.s AND b.v = e.dst AND b.d = a.d + 1),
+    sg(s, v, n) AS (SELECT node, node, 1.0::DOUBLE FROM src UNION ALL SELECT g.s, dag.t, sum(g.n) FROM sg g JOIN dag ON dag.s = g.s AND dag.u = g.v GROUP BY ALL),
+    h(s, v, x) AS (SELECT s, v, 1 / n FROM sg UNION ALL SELECT h.s, dag.u, sum(h.x) FROM h JOIN dag ON dag.s = h.s AND dag.t = h.v GROUP BY ALL),
+    y AS (SELECT s, v, sum(x) AS y FROM h GROUP BY ALL), n AS (SELECT count(*) AS n FROM ({_NODES}))"""
+
+
+def _betweenness_sql(k: int) -> str:
+    return f"""WITH RECURSIVE {_dependencies(k)}, b AS (SELECT v, sum(n * y - 1) AS x FROM sg JOIN y USING (s, v) WHERE s <> v GROUP BY v)
+--final
+SELECT node, coalesce(x, 0) / ((n - 1) * (n - 2) * {k} / n) AS betweenness FROM ({_NODES}) LEFT JOIN b ON b.v = node, n"""
+
+
+@query("betweenness", "node betweenness:9", _betweenness_sql(40))
 def betweenness(s: Shapes):
-    return CE.betweenness(_simple(s).withColumn("w", F.col("street") % 97 + 1), "w", k=None)
+    return CE.betweenness(_simple(s), k=40)
 
 
-@query("edge_betweenness", "street betweenness:9")
+@query("edge_betweenness", "street betweenness:9", f"""WITH RECURSIVE {_dependencies(40)}, c AS (SELECT least(dag.u, dag.t) AS a, greatest(dag.u, dag.t) AS b, sum(sg.n * y.y) AS x FROM dag JOIN sg ON sg.s = dag.s AND sg.v = dag.u JOIN y ON y.s = dag.s AND y.v = dag.t GROUP BY 1, 2), e AS (SELECT street, x FROM v_simple JOIN c ON c.a = least(src, dst) AND c.b = greatest(src, dst))
+--final
+SELECT street, coalesce(x, 0) / (n * (n - 1) * 40 / n) AS betweenness FROM v_streets LEFT JOIN e USING (street), n""")
 def edge_betweenness(s: Shapes):
-    e = s.streets().withColumn("length", (F.col("street") % 97 + 1).cast("double"))
-    return CE.line_betweenness(e, "street", "length")
+    return CE.line_betweenness(s.streets().withColumn("length", F.lit(1.0)), "street", None, 40)
 
 
-@query("betweenness_sampled", "n sources_ok", f"SELECT count(*) AS n, true AS sources_ok FROM ({_NODES})")
+@query("betweenness_sampled", "node betweenness:9", _betweenness_sql(100))
 def betweenness_sampled(s: Shapes):
-    b = CE.betweenness(_simple(s), k=100)
-    return b.agg(F.count(F.lit(1)).alias("n"), F.every((F.col("betweenness") >= 0) & (F.col("betweenness") <= 1)).alias("sources_ok"))
+    return CE.betweenness(_simple(s), k=100)
 
 
 @query("closeness", "node closeness:9", f"""WITH RECURSIVE {_BFS}
@@ -216,11 +232,15 @@ def path_summary(s: Shapes):
     return CE.path_summary(CE.eccentricities(_simple(s)))
 
 
-@query("communities", "labelled connected")
+@query("communities", "node settled", f"SELECT DISTINCT unnest([src, dst]) AS node, true AS settled FROM v_simple WHERE src <> dst")
 def communities(s: Shapes):
-    e = cut_lineage(_simple(s))
+    # settled: no label is commoner around a node than its own
+    e = cut_lineage(_simple(s).where(F.col("src") != F.col("dst")).select("src", "dst"))
     c = GR.communities(e)
-    return c.agg(F.count(F.lit(1)).alias("labelled")).withColumn("connected", GR.modularity(e, c).select("modularity").scalar() > 0.3)
+    around = GR.bidirectional_edges(e).join(c.select(F.col("node").alias("dst"), F.col("community").alias("label")), "dst")
+    votes = around.groupBy("src", "label").agg(F.count(F.lit(1)).alias("n")).join(c.select(F.col("node").alias("src"), "community"), "src")
+    own = F.coalesce(F.max(F.when(F.col("label") == F.col("community"), F.col("n"))), F.lit(0))
+    return votes.groupBy(F.col("src").alias("node")).agg((F.max("n") <= own).alias("settled"))
 
 
 @query("modularity", "communities modularity:8", f"""WITH l AS (SELECT node, node % 10 AS c FROM ({_NODES})), d AS (SELECT c, sum(degree) AS d FROM ({_DEG}) JOIN l USING (node) GROUP BY c), i AS (SELECT a.c, count(*) AS l FROM v_simple JOIN l a ON a.node = src JOIN l b ON b.node = dst WHERE a.c = b.c GROUP BY a.c), m AS (SELECT count(*) AS m FROM v_simple)
@@ -231,12 +251,14 @@ def modularity(s: Shapes):
     return GR.modularity(e, GR.nodes_of(e).withColumn("community", F.col("node") % 10))
 
 
-@query("contract_degree2", "total:3 inner_left")
+@query("contract_degree2", "src dst street length:3 merged", f"""WITH RECURSIVE i AS (SELECT node FROM ({_DEG}) WHERE degree = 2), t AS (SELECT unnest([src, dst]) AS node, street FROM v_simple), l AS (SELECT min(street) AS a, max(street) AS b FROM t JOIN i USING (node) GROUP BY node), lb AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    cc(n, c) USING KEY (n) AS (SELECT street, street FROM v_simple UNION SELECT lb.b, min(cc.c) FROM cc JOIN lb ON lb.a = cc.n JOIN recurring.cc r ON r.n = lb.b WHERE cc.c < r.c GROUP BY lb.b),
+    e AS (SELECT c AS chain, street, src, dst FROM cc JOIN v_simple ON street = n), z AS (SELECT chain, min(node) AS a, max(node) AS b FROM (SELECT chain, unnest([src, dst]) AS node FROM e) WHERE node NOT IN (SELECT node FROM i) GROUP BY chain),
+    g AS (SELECT coalesce(a, m) AS src, coalesce(b, m) AS dst, street, merged FROM (SELECT chain, min(street) AS street, count(*) AS merged, min(src) AS m FROM e GROUP BY chain) LEFT JOIN z USING (chain)), k AS (SELECT * FROM g WHERE merged = 1)
+--final
+SELECT src, dst, street, CAST(merged AS DOUBLE) AS length, merged FROM k UNION ALL SELECT src, dst, min(street), CAST(arg_min(merged, street) AS DOUBLE), arg_min(merged, street) FROM g WHERE merged > 1 AND (least(src, dst), greatest(src, dst)) NOT IN (SELECT (least(src, dst), greatest(src, dst)) FROM k) GROUP BY src, dst""")
 def contract_degree2(s: Shapes):
-    e = cut_lineage(_simple(s).withColumn("length", F.lit(1.0)))
-    c = cut_lineage(GR.contract_degree2(e, "street"))
-    left = GR.degree(c.where(F.col("src") != F.col("dst"))).where(F.col("degree") == 2).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return c.agg(F.sum("length").alias("total")).withColumn("inner_left", left)
+    return GR.contract_degree2(cut_lineage(_simple(s).withColumn("length", F.lit(1.0))), "street")
 
 
 @query("drainage_digraph", "reach src dst", f"""WITH g AS (SELECT reach, {_px('src')} AS ax, {_py('src')} AS ay, {_px('dst')} AS qx, {_py('dst')} AS qy FROM v_reaches), a AS (SELECT reach, arg_min(erb, ((ax - x) ** 2 + (ay - y) ** 2, erb)) AS src FROM g, v_stations GROUP BY reach), b AS (SELECT reach, arg_min(erb, ((qx - x) ** 2 + (qy - y) ** 2, erb)) AS dst FROM g, v_stations GROUP BY reach)

@@ -107,7 +107,7 @@ def flood_susceptibility(s: Shapes):
 
 @query("flood_susceptibility_accumulation", "cells low high", "SELECT count(*) AS cells, true AS low, true AS high FROM v_cells")
 def flood_susceptibility_accumulation(s: Shapes):
-    acc = s.cells().where(F.col("value") > 990)
+    acc = s.cells().select("row", "col", (F.col("value") - 500).alias("value"))
     f = R.flood_susceptibility(s.cells(), _burned(s), 100.0, acc)
     return f.agg(F.count("susceptibility").alias("cells"), (F.min("susceptibility") >= 0).alias("low"), (F.max("susceptibility") <= 1).alias("high"))
 
@@ -115,7 +115,11 @@ def flood_susceptibility_accumulation(s: Shapes):
 _LEVELS = ((0.6, 1, "Risco Baixo"), (0.7, 2, "Risco Médio"), (0.8, 3, "Risco Alto"))
 
 
-@query("flood_zones", "level cells zones")
+@query("flood_zones", "level cells zones", f"""WITH RECURSIVE f AS MATERIALIZED (SELECT level, "row", col, level * 100000000 + "row" * 1000 + col AS n FROM ({_SUSC}), (VALUES (0.6, 1), (0.7, 2), (0.8, 3)) t(th, level) WHERE susceptibility >= th),
+    l AS (SELECT a.n AS a, b.n AS b FROM f a JOIN f b ON a.level = b.level AND abs(a."row" - b."row") + abs(a.col - b.col) = 1),
+    cc(n, c) USING KEY (n) AS (SELECT n, n FROM f UNION SELECT l.b, min(cc.c) FROM cc JOIN l ON l.a = cc.n JOIN recurring.cc r ON r.n = l.b WHERE cc.c < r.c GROUP BY l.b)
+--final
+SELECT level, CAST(count(*) AS BIGINT) AS cells, count(DISTINCT c) AS zones FROM cc JOIN f USING (n) GROUP BY level""")
 def flood_zones(s: Shapes):
     z = R.flood_zones(_susceptibility(s), _LEVELS)
     t = R.flood_zone_table(z, 100.0)

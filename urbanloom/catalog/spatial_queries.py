@@ -81,7 +81,7 @@ SELECT id, zone FROM w UNION ALL SELECT id, zone FROM v_bld b JOIN v_zones z ON
 def spatial_join_fallback(s: Shapes):
     b = s.buildings().select("id", "ring", "rings", *S.BOX)
     inside = lambda: F.forall("l_ring", lambda v: G.point_in_polygon(v["x"], v["y"], F.col("r_rings"), False))
-    return S.join_with_fallback(b, s.zones(), "id", 500.0, ["zone"], inside, S.polygons_meet()).select("id", "zone")
+    return S.join_with_fallback(b, s.zones(), "id", 500.0, ["zone"], inside, S.polygons_meet(), drop_unmatched=True).select("id", "zone")
 
 
 @query("resolve_multi_match", "id zone overlap:4", f"""SELECT id, zone, overlap FROM (SELECT id, zone, {_OV} AS overlap, row_number() OVER (PARTITION BY id ORDER BY {_OV} DESC, zone) AS r FROM v_bld b JOIN v_zones z ON b.x0 < z.x1 AND z.x0 < b.x1 AND b.y0 < z.y1 AND z.y0 < b.y1) WHERE r = 1""")
@@ -322,7 +322,7 @@ def gaussian_smooth(s: Shapes):
 --final
 SELECT erb, sum(exp(-0.5 * (b * (s.x - p.x) ** 2 - 2 * c * (s.x - p.x) * (s.y - p.y) + a * (s.y - p.y) ** 2) / (a * b - c * c))) / (max(n) * 2 * pi() * sqrt(max(a * b - c * c))) AS density FROM v_stations s, v_customers p, g GROUP BY erb""")
 def kde_points(s: Shapes):
-    return GD.kde_points(s.customers(), s.stations(), "erb", cutoff=7.0)
+    return GD.kde_points(s.customers(), s.stations(), "erb")
 
 
 @query("hex_grid", "q r points", """SELECT CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN dq > dr AND dq > ds THEN rr WHEN dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS r, count(*) AS points FROM (SELECT *, round(fq) AS rq, round(fr) AS rr, round(fs) AS rs, abs(round(fq) - fq) AS dq, abs(round(fr) - fr) AS dr, abs(round(fs) - fs) AS ds

@@ -775,9 +775,17 @@ def union_layers(s: Shapes):
 # ---- encodings, splits, metrics ---------------------------------------------------------------------------------
 
 
-@query("one_hot", "c_custkey seg_automobile seg_building seg_furniture seg_household seg_machinery", "SELECT c_custkey, " + ", ".join(f"(c_mktsegment = '{v}')::INTEGER AS seg_{v.lower()}" for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer")
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("one_hot", "c_custkey seg_automobile seg_building seg_furniture seg_household seg_machinery", "SELECT c_custkey, " + ", ".join(f"(c_mktsegment = '{v}')::INTEGER AS seg_{v.lower()}" for v in _SEGMENTS) + " FROM customer")
 def one_hot(s: Shapes):
-    return FE.one_hot(s.customer, "c_mktsegment", prefix="seg")
+    return FE.one_hot(s.customer, "c_mktsegment", _SEGMENTS, prefix="seg")
+
+
+@query("one_hot_long", "c_custkey category value", "SELECT c_custkey, c_mktsegment AS category, 1 AS value FROM customer")
+def one_hot_long(s: Shapes):
+    return FE.one_hot_long(s.customer, "c_custkey", "c_mktsegment")
 
 
 @query("ordinal_encode", "l_orderkey l_linenumber flag code", "SELECT l_orderkey, l_linenumber, flag, CASE flag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE -1 END::BIGINT AS code FROM v_dirty")

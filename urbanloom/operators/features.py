@@ -36,21 +36,20 @@ def numeric_matrix(df: DataFrame, name: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol=name).transform(filled)
 
 
-def categories(df: DataFrame, col: str, limit: int = 10_000) -> list[str]:
-    """Sorted distinct values; an error beyond ``limit`` (dummy columns need a bounded vocabulary)."""
-    rows = df.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("v")).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} categories")
-    return sorted(r["v"] for r in rows)
+def one_hot(df: DataFrame, col: str, values: Sequence[str], prefix: str | None = None) -> DataFrame:
+    """Dummy columns for the given categories, all 0 for NULL and other values.
 
-
-def one_hot(df: DataFrame, col: str, values: Sequence[str] | None = None, prefix: str | None = None) -> DataFrame:
-    """Dummy columns per category, none for NULL."""
-    values = categories(df, col) if values is None else values
+    The columns of a plan are fixed before it runs, so the caller names them; ``one_hot_long`` takes any vocabulary.
+    """
     p = prefix or col
     return df.withColumns({f"{p}_{safe_name(v)}": F.coalesce((F.col(col) == v).cast("int"), F.lit(0)) for v in values})
 
 
+def one_hot_long(df: DataFrame, key: str, col: str) -> DataFrame:
+    """The ones of a one-hot matrix as rows ``(key, category, value)``, for vocabularies of any size; none for NULL."""
+    return df.where(F.col(col).isNotNull()).select(key, F.col(col).cast("string").alias("category"), F.lit(1).alias("value"))
+
+
 def ordinal_encode(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     """Index in the sorted category list; NULL is -1."""
     values = df.where(F.col(col).isNotNull()).select(F.col(col).alias("_v")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..scale import cut_lineage, one_row, round_table, with_position
+from ..scale import cut_lineage, drop_table, one_row, round_table, table_path, with_position
 from .spatial import cell, nearest_join
 
 # ---- building -------------------------------------------------------------------------------------
@@ -94,7 +94,7 @@ def node_id_ranges(nodes: DataFrame, layer: str) -> DataFrame:
 # ---- components -----------------------------------------------------------------------------------
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``(node, component)`` with the smallest node id as label.
 
     Alternates two star contractions until the edge set is stable: O(log n) rounds, each a partial
@@ -106,7 +106,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
     ).distinct()
     e = cut_lineage(e)
     mark = None
-    for _ in range(max_rounds):
+    while True:  # the two contractions only ever lower labels, so the edge set settles
         # link every larger neighbour of a node to the node's smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -115,13 +115,12 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
         # link the smaller neighbours of a node to their minimum
         least = up.groupBy("u").agg(F.min("v").alias("m"))
         down = up.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = round_table(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, round_table(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        drop_table(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     return all_nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
@@ -375,8 +374,8 @@ build_tolerant_graph = snap_within
 def contract_degree2(edges: DataFrame, key: str, length: str = "length") -> DataFrame:
     """Maximal chains of degree-2 nodes become one edge: summed length, first edge's key, edge count.
 
-    Closed rings without a junction keep their smallest node; existing parallel edges stay, so a
-    contracted chain that would duplicate one is dropped.
+    Closed rings without a junction keep their smallest node. Edges that are not merged all stay, parallel ones too;
+    a contracted chain is dropped where such an edge, or a chain with a smaller key, joins the same two nodes.
     """
     e = edges.select("src", "dst", key, length)
     d = degree(e)
@@ -394,8 +393,11 @@ def contract_degree2(edges: DataFrame, key: str, length: str = "length") -> Data
     out = g.join(pair, "chain", "left").select(
         F.coalesce("a", "_m").alias("src"), F.coalesce("b", "_m").alias("dst"), key, length, "merged"
     )
-    first = F.min_by(F.struct(key, length, "merged"), F.struct(F.col("merged"), F.col(key)))
-    return out.groupBy("src", "dst").agg(first.alias("r")).select("src", "dst", "r.*")
+    ends = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
+    kept = out.where(F.col("merged") == 1)
+    chains = out.where(F.col("merged") > 1).groupBy(*ends).agg(F.min_by(F.struct(key, length, "merged"), F.col(key)).alias("r"))
+    new = chains.select("src", "dst", "r.*").join(kept.select(*ends).distinct(), ["src", "dst"], "left_anti")
+    return kept.unionByName(new)
 
 
 def drainage_digraph(segments: DataFrame, nodes: DataFrame, key: str, coords: str) -> DataFrame:
@@ -412,50 +414,69 @@ def drainage_digraph(segments: DataFrame, nodes: DataFrame, key: str, coords: st
     )
 
 
-def flow_accumulation(edges: DataFrame, weight: str = "weight", max_rounds: int = 40) -> DataFrame:
-    """acc(v) = [v is a source] + sum(acc(u) * w(u, v)) on an acyclic network.
+def flow_accumulation(edges: DataFrame, weight: str = "weight") -> DataFrame:
+    """acc(v) = [v is a source] + sum(acc(u) * w(u, v)) on an acyclic network; an error if it has a cycle.
 
-    Path products are doubled every round (paths of length 1, 2, 4, ...), so the number of rounds is the
-    logarithm of the longest path. On drainage trees every node keeps one path row per round.
+    Values are pushed level by level: a node passes its value on once all edges into it have delivered. Every edge is
+    used once, whatever the network's shape, and braided networks make no extra rows. Rounds: the longest path.
     """
-    e = edges.groupBy("src", "dst").agg(F.max(weight).cast("double").alias("w"))
+    spark = edges.sparkSession
+    e = cut_lineage(edges.groupBy("src", "dst").agg(F.max(weight).cast("double").alias("w")))
     nodes = nodes_of(e)
-    sinks = e.select(F.col("dst").alias("node")).distinct().withColumn("_in", F.lit(1))
-    acc = nodes.join(sinks, "node", "left").select("node", F.when(F.col("_in").isNull(), 1.0).otherwise(0.0).alias("acc"))
-    acc, paths = cut_lineage(acc), cut_lineage(e)
-    for _ in range(max_rounds):
-        add = paths.join(acc, paths["src"] == acc["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("acc")).alias("_x"))
-        acc = round_table(acc.join(add, "node", "left").select("node", (F.col("acc") + F.coalesce("_x", F.lit(0.0))).alias("acc")))
-        a = paths.select("src", F.col("dst").alias("mid"), F.col("w").alias("w1"))
-        b = paths.select(F.col("src").alias("mid"), "dst", F.col("w").alias("w2"))
-        nxt = a.join(b, "mid").groupBy("src", "dst").agg(F.sum(F.col("w1") * F.col("w2")).alias("w"))
-        paths = round_table(nxt)
-        if paths.isEmpty():
-            return acc
-    raise ValueError("the network has a cycle")
-
-
-def communities(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """Synchronous label propagation: each node takes the commonest neighbour label, smallest on ties.
-
-    A node keeps its label when it is among the commonest, which damps two-cycles; stops when stable.
+    need = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("need"))
+    ready = nodes.join(need, "node", "left_anti").select("node", F.lit(1.0).alias("acc"))
+    done = table_path(spark)
+    ready = round_table(ready)
+    part = None
+    while not ready.isEmpty():
+        ready.write.mode("append").parquet(done)
+        sent = ready.join(e, ready["node"] == e["src"]).select(
+            F.col("dst").alias("node"), (F.col("w") * F.col("acc")).alias("x"), F.lit(1).cast("bigint").alias("n"))
+        waiting = sent if part is None else part.unionByName(sent)
+        waiting = waiting.groupBy("node").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).join(need, "node")
+        state = round_table(waiting)
+        last_ready, last_part = ready, part
+        ready = round_table(state.where(F.col("n") == F.col("need")).select("node", F.col("x").alias("acc")))
+        part = round_table(state.where(F.col("n") < F.col("need")).select("node", "x", "n"))
+        for t in (last_ready, last_part, state):
+            drop_table(t)
+    if part is not None and not part.isEmpty():
+        raise ValueError("the network has a cycle")
+    acc = spark.read.schema("node " + e.schema["src"].dataType.simpleString() + ", acc double").parquet(done) if part is not None else ready
+    if acc.count() < nodes.count():
+        raise ValueError("the network has a cycle")
+    return acc
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """Label propagation to a fixed point: each node takes the commonest neighbour label, smallest on ties.
+
+    A node moves only if another label is strictly commoner around it than its own, and only if it comes first (by a
+    hash of node and round) among the neighbours that want to move too. So every move adds edges that join equal
+    labels, and the rounds end by themselves, without a cap, at a labelling that no node wants to leave.
     """
     both = cut_lineage(bidirectional_edges(edges.where(F.col("src") != F.col("dst")).select("src", "dst")).distinct())
     lab = cut_lineage(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    seen = set()
-    for _ in range(max_rounds):
+    done = 0
+    while True:
+        done += 1
         votes = both.join(lab, both["dst"] == lab["node"]).groupBy("src", "label").agg(F.count(F.lit(1)).alias("c"))
         cur = lab.select(F.col("node").alias("src"), F.col("label").alias("old"))
-        v = votes.join(cur, "src")
-        best = v.groupBy("src", "old").agg(
-            F.min(F.struct((-F.col("c")).alias("c"), (F.col("label") != F.col("old")).alias("moved"), "label")).alias("b")
-        )
-        lab = round_table(best.select(F.col("src").alias("node"), F.col("b.label").alias("label")))
-        now = tuple(lab.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first())
-        if now in seen:
-            break
-        seen.add(now)
-    return lab.withColumnRenamed("label", "community")
+        best = votes.join(cur, "src").groupBy("src").agg(
+            F.min(F.struct((-F.col("c")).alias("c"), "label")).alias("b"),
+            F.coalesce(F.max(F.when(F.col("label") == F.col("old"), F.col("c"))), F.lit(0)).alias("own"),
+        ).where(-F.col("b.c") > F.col("own"))
+        want = round_table(best.select("src", F.col("b.label").alias("to"), F.xxhash64("src", F.lit(done)).alias("turn")))
+        rival = want.select(F.col("src").alias("dst"), F.struct("turn", F.col("src").alias("id")).alias("other"))
+        first = both.join(rival, "dst").groupBy("src").agg(F.min("other").alias("other"))
+        moves = want.join(first, "src", "left").where(
+            F.col("other").isNull() | (F.struct("turn", F.col("src").alias("id")) < F.col("other"))
+        ).select(F.col("src").alias("node"), "to")
+        if want.isEmpty():
+            return lab.withColumnRenamed("label", "community")
+        last, lab = lab, round_table(lab.join(moves, "node", "left").select("node", F.coalesce("to", "label").alias("label")))
+        drop_table(last)
+        drop_table(want)
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -155,11 +155,12 @@ def gaussian_smooth(cells: DataFrame, rows: Column, cols: Column, sigma: float,
     return spread(a, "col", cols, "row").select("row", "col", value)
 
 
-def kde_points(points: DataFrame, at: DataFrame, key: str, cutoff: float = 4.0) -> DataFrame:
+def kde_points(points: DataFrame, at: DataFrame, key: str, cutoff: float = 8.5) -> DataFrame:
     """Gaussian KDE (Scott factor, full covariance) of ``points`` evaluated at ``at``.
 
     The points are whitened with the Cholesky factor of the scaled covariance, so the kernel is a unit
-    disc; contributions beyond ``cutoff`` standard deviations are below exp(-cutoff**2/2).
+    disc; contributions beyond ``cutoff`` standard deviations are below exp(-cutoff**2/2) of the kernel's peak, at the
+    default below the resolution of a double, so the sum is the full sum.
     """
     s = one_row(points, n=F.count(F.lit(1)), vx=F.var_samp("x"), vy=F.var_samp("y"), cv=F.covar_samp("x", "y"))
     f2 = F.pow(s["n"], F.lit(-1.0 / 3.0))  # squared Scott factor in two dimensions

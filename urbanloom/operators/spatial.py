@@ -44,12 +44,15 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def box_pairs(left: DataFrame, right: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, size: float, pad: float = 0.0,
+              test: Callable[[], Column] | None = None) -> DataFrame:
     """All pairs whose boxes come within ``pad``; columns are prefixed ``l_`` and ``r_``.
 
-    Both frames carry the box columns. ``pad`` widens the right side.
+    Both frames carry the box columns. ``pad`` widens the right side. ``test`` is an exact predicate; it is only
+    evaluated where the cheap tests of box and owner cell hold. The left side is dealt by cell, also where the right
+    one is broadcast, so the tests spread over all tasks.
     """
-    lc = _prefixed(cover_cells(left, size), "l_")
+    lc = _prefixed(cover_cells(left, size), "l_").repartition("l_cx", "l_cy")
     rc = _prefixed(cover_cells(right, size, pad), "r_")
     same = (F.col("l_cx") == F.col("r_cx")) & (F.col("l_cy") == F.col("r_cy"))
     meet = (
@@ -60,12 +63,14 @@ def box_pairs(left: DataFrame, right: DataFrame, size: float, pad: float = 0.0)
         (F.col("l_cx") == cell(F.greatest(F.col("l_minx"), F.col("r_minx") - pad), size))
         & (F.col("l_cy") == cell(F.greatest(F.col("l_miny"), F.col("r_miny") - pad), size))
     )
-    return lc.join(rc, same & meet & owner).drop("l_cx", "l_cy", "r_cx", "r_cy")
+    cheap = meet & owner
+    exact = cheap if test is None else F.when(cheap, test()).otherwise(F.lit(False))
+    return lc.join(rc, same & exact).drop("l_cx", "l_cy", "r_cx", "r_cy")
 
 
 def spatial_pairs(left: DataFrame, right: DataFrame, size: float, test: Callable[[], Column]) -> DataFrame:
     """Inner spatial join; ``test`` is the exact predicate over the prefixed columns."""
-    return box_pairs(left, right, size).where(test())
+    return box_pairs(left, right, size, test=test)
 
 
 def spatial_join(left: DataFrame, right: DataFrame, key: str, size: float, test: Callable[[], Column],
@@ -116,19 +121,18 @@ def clip_polygons(df: DataFrame, ring: str, convex: Column) -> DataFrame:
 
 def join_with_fallback(left: DataFrame, right: DataFrame, key: str, size: float, keep: Sequence[str],
                        within: Callable[[], Column], touches: Callable[[], Column], share: float = 0.05,
-                       drop_unmatched: bool = True) -> DataFrame:
+                       drop_unmatched: bool = False) -> DataFrame:
     """``within`` first; when more than ``share`` stays unmatched, ``intersects`` for the rest.
 
-    With the fallback in force unmatched rows are dropped unless ``drop_unmatched`` is false.
+    With ``drop_unmatched`` and the fallback in force, rows without any match are dropped.
     """
-    pairs = box_pairs(left, right, size)
     cols = [F.col(f"l_{key}").alias(key), *[F.col(f"r_{c}").alias(c) for c in keep]]
-    first = pairs.where(within()).select(*cols)
+    first = box_pairs(left, right, size, test=within).select(*cols)
     rest = left.join(first, key, "left_anti")
     n = one_row(left, n=F.count(F.lit(1)))["n"]
     missing = one_row(rest, n=F.count(F.lit(1)))["n"]
     use = missing / n > share
-    second = box_pairs(rest, right, size).where(touches()).select(*cols).where(use)
+    second = box_pairs(rest, right, size, test=touches).select(*cols).where(use)
     hit = first.unionByName(second)
     out = left.drop(*BOX).join(hit, key, "left")
     if drop_unmatched:

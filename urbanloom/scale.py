@@ -91,9 +91,25 @@ def round_table(df: DataFrame) -> DataFrame:
     broadcast what turned out small.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
+    path = table_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._round_path = path
+    return out
+
+
+def table_path(spark: SparkSession) -> str:
+    """A new folder name in the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
+
+
+def drop_table(df: DataFrame | None) -> None:
+    """Remove the files of a ``round_table`` that nothing reads any more."""
+    path = getattr(df, "_round_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def one_row(df: DataFrame, **aggs: Column) -> Column:
