@@ -12,6 +12,7 @@ on its own; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
 import zlib
@@ -28,65 +29,101 @@ from urbanloom.scale import ensure_checkpoint_dir
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
 
+class _Places(dict):
+    """Number of every piece (what follows a space); a new piece gets the next number and is noted down."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class TextEncoder:
     """Ids of whole texts by a byte-level BPE file, remembering the ids of pieces already seen.
 
     Byte-level pre-tokens take a leading space along, so a text may be cut before any space that has no white space
     behind it: the pieces encode to the ids of the whole. Texts with a space before other white space are encoded
-    whole. ``limit`` bounds the remembered pieces.
+    whole. Pieces met for the first time are encoded together, as one text, by the faster of the two libraries that
+    read the vocabulary; it is only used after giving the same ids as the other on a probe. ``limit`` bounds the
+    remembered pieces.
     """
 
+    PROBE = " The cat's  2 \n\n naïve déjà-vu  #*$%&|<> ## x=1;\ttab \u4f60\u597d 12,345.67 don't  <|endoftext|> "
+
     def __init__(self, path: str, limit: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.plain = lambda text: tok.encode(text, add_special_tokens=False).ids
+        self.fast, self.bytes_of = _fast_encoder(tok)
+        if self.fast(self.PROBE) != self.plain(self.PROBE):
+            self.fast = self.plain
         self.limit = limit
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.pool = np.zeros(1 << 20, dtype=np.int32)
-        self.used = 0
-        self.start = np.zeros(1 << 16, dtype=np.int64)
-        self.length = np.zeros(1 << 16, dtype=np.int64)
-
-    def learn(self, pieces: list[str]) -> None:
-        for piece, e in zip(pieces, self.tok.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids, k = e.ids, len(self.place)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            if k == len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start[k], self.length[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.place[piece] = k
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        if _odd_space(text):
-            return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.int32)
-        head, *tail = text.split(" ")
-        pieces = [head, *[" " + x for x in tail]] if head else [" " + x for x in tail]
-        at = [self.place.get(x, -1) for x in pieces]
-        if -1 in at:
-            if len(self.place) > self.limit:
-                self.forget()
-            self.learn(list(dict.fromkeys(x for x in pieces if x not in self.place)))
-            at = [self.place[x] for x in pieces]
-        start, length = self.start[at], self.length[at]
-        ends = np.cumsum(length)
-        return self.pool[np.repeat(start - ends + length, length) + np.arange(ends[-1])]
-
-
-def _odd_space(text: str) -> bool:
-    """A space with white space of any kind after it."""
-    import re
-
-    return re.search(r" \s", text) is not None
+        self.place = _Places()
+        self.pool = np.zeros(0, dtype=np.int32)
+        self.start = np.zeros(0, dtype=np.int64)
+        self.length = np.zeros(0, dtype=np.int64)
+
+    def learn(self) -> None:
+        """Ids of the pieces noted down: tokens end where pieces end, so bytes tell them apart."""
+        pieces, self.place.new = self.place.new, []
+        if not pieces:
+            return
+        ids = np.array(self.fast("".join([" " + x for x in pieces])), dtype=np.int32)
+        token_end = np.cumsum(self.bytes_of[ids])
+        piece_end = np.cumsum([len(x.encode()) + 1 for x in pieces])
+        after = np.searchsorted(token_end, piece_end) + 1
+        start = np.concatenate([[0], after[:-1]])
+        self.start = np.concatenate([self.start, len(self.pool) + start])
+        self.length = np.concatenate([self.length, after - start])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.place) > self.limit:
+            self.forget()
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # ids of the text up to its first space, pieces after it
+        none = np.zeros(0, np.int64)
+        for text in texts:
+            if _ODD_SPACE.search(text):
+                parts.append((np.asarray(self.plain(text), dtype=np.int32), none))
+                continue
+            head, *tail = text.split(" ")
+            parts.append((np.array(self.fast(head), dtype=np.int32),
+                          np.fromiter(map(self.place.__getitem__, tail), np.int64, len(tail))))
+        self.learn()
+        out = []
+        for head, pieces in parts:
+            length = self.length[pieces]
+            ends = np.cumsum(length)
+            shift = np.repeat(self.start[pieces] - ends + length, length)
+            out.append(np.concatenate([head, self.pool[shift + np.arange(len(shift))]]))
+        return out
+
+
+_ODD_SPACE = re.compile(r" (?:\s|\Z)")  # a space with white space of any kind after it, or at the end
+
+
+def _fast_encoder(tok):
+    """The same vocabulary in the other library, and the byte length of every id."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    # byte-level vocabularies write every byte as one printable character
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    special = set(tok.get_added_tokens_decoder())
+    vocab = {bytes(byte_of[c] for c in t): i for t, i in tok.get_vocab().items() if i not in special}
+    size = np.zeros(tok.get_vocab_size(), dtype=np.int64)
+    size[list(vocab.values())] = [len(t) for t in vocab]
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={}).encode_ordinary, size
 
 
 def _encoder(path: str) -> TextEncoder:
@@ -107,8 +144,9 @@ def write_tokens(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, en
         place = 0
         for b in batches:
             ids, ns = [], []
-            for text in b.column(2).to_pylist():
-                got = np.append(enc.encode(text or ""), end_id).astype("<u4")
+            texts = [x or "" for x in b.column(2).to_pylist()]
+            for encoded in (x for i in range(0, len(texts), 256) for x in enc.encode(texts[i : i + 256])):
+                got = np.append(encoded, end_id).astype("<u4")
                 small = got.astype("<u2") if got.max() < 1 << 16 else got
                 ids.append(bytes([small.itemsize]) + pack.compress(small.tobytes()))
                 ns.append(len(got))
