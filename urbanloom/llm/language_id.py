@@ -15,7 +15,6 @@ chooses others).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,7 +34,6 @@ FAMILIES = {
     "slavic": ["bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
 }
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 ORDERS = (2, 3, 5)  # bytes of an n-gram
 
 
@@ -146,21 +144,22 @@ class Model:
                 langs[i + mine] = np.array(members, dtype=object)[best]
                 score[i + mine] = sure[mine] * inner
         for i, text in enumerate(texts.to_pylist()):
-            if not text or not LETTER.search(text):
+            if not text or not any(map(str.isalpha, text)):
                 langs[i], score[i] = UNDETERMINED, 0.0
         return langs.tolist(), score
 
 
 def fit(
     docs: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = 4000, bits: int = 16, epochs: int = 4,
-    seed: int = 7,
+    seed: int = 7, most_langs: int = 200,
 ) -> Model:
-    """Train on at most ``sample`` labelled rows of ``docs``."""
+    """Train on at most ``sample`` labelled rows of ``docs``, for the ``most_langs`` commonest languages at most."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.orderBy(F.desc("_n"), "_lang").limit(most_langs)
     langs = counts.agg(F.count(F.lit(1)).alias("k")).scalar()
     place = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
-    picked = labelled.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang")).where(  # one row per language
+    picked = labelled.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang")).where(  # ``most_langs`` rows
         place <= F.lit(float(sample)) / langs / F.col("_n")
     )
     rows = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place"))
