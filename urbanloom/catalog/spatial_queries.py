@@ -463,17 +463,35 @@ def _sectors(s: Shapes):
     return d.withColumn("ring", ring).where(F.col("ring").isNotNull()).select("erb", "operator", "EIRP_dBm", "ring")
 
 
-@query("hex_cover_join", "q r num_operadoras num_setores potencia_media:6 vulnerabilidade densidade_potencia:6")
+# Hexagons and wedges are convex: they are apart if some edge normal of either separates their projections.
+_HEX_SECTORS = f"""ext AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v_stations), hr AS (SELECT unnest(range(CAST(floor(y0 / 2250) AS BIGINT), CAST(ceil(y1 / 2250) AS BIGINT) + 1)) AS r, x0 / (1500 * sqrt(3)) AS a, x1 / (1500 * sqrt(3)) AS c FROM ext),
+    hx AS (SELECT q, r, 1500 * sqrt(3) * (q + r / 2) AS cx, 2250.0::DOUBLE * r AS cy FROM (SELECT r, unnest(range(CAST(floor(a - r / 2) AS BIGINT), CAST(ceil(c - r / 2) AS BIGINT) + 1)) AS q FROM hr)),
+    sc AS (SELECT erb, operator, x, y, 10 * log10(watts * 1000) + gain AS e, radians(((90 - azimuth) % 360 + 360) % 360) AS m, watts * 40 AS w FROM v_stations WHERE azimuth IS NOT NULL),
+    sv AS (SELECT erb, 0 AS i, x, y FROM sc UNION ALL SELECT erb, i + 1, x + w * cos(m + radians(4 * i - 60)), y + w * sin(m + radians(4 * i - 60)) FROM sc, (SELECT unnest(range(31)) AS i)),
+    ax AS (SELECT u.erb, v.y - u.y AS nx, u.x - v.x AS ny FROM sv u JOIN sv v ON v.erb = u.erb AND v.i = (u.i + 1) % 32 UNION ALL SELECT erb, cos(radians(60 * k)), sin(radians(60 * k)) FROM sc, (SELECT unnest(range(3)) AS k)),
+    sp AS (SELECT ax.erb, nx, ny, min(x * nx + y * ny) AS lo, max(x * nx + y * ny) AS hi, (SELECT max(1500 * (cos(radians(60 * k - 30)) * nx + sin(radians(60 * k - 30)) * ny)) FROM (SELECT unnest(range(6)) AS k)) AS half FROM ax JOIN sv USING (erb) GROUP BY ax.erb, nx, ny),
+    hs AS MATERIALIZED (SELECT q, r, sc.erb, operator AS op, e FROM hx, sc WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.erb = sc.erb AND (cx * nx + cy * ny + half < lo OR cx * nx + cy * ny - half > hi)))"""
+
+
+def _hex_cover_sql(all_sectors: bool) -> str:
+    per = "SELECT q, r, op, arg_min(e, erb) AS e1, sum(e) AS es, count(*) AS n FROM hs GROUP BY ALL"
+    means = "sum(n), sum(es) / sum(n)" if all_sectors else "count(*), avg(e1)"
+    return f"""WITH {_HEX_SECTORS}, g(q, r, ops, secs, pm) AS (SELECT q, r, count(*), {means} FROM ({per}) GROUP BY q, r)
+--final
+SELECT q, r, coalesce(ops, 0) AS num_operadoras, CAST(coalesce(secs, 0) AS BIGINT) AS num_setores, pm AS potencia_media, {_bins('coalesce(ops, 0)', 'hex_vulnerability')} AS vulnerabilidade, pm / secs AS densidade_potencia FROM hx LEFT JOIN g USING (q, r)"""
+
+
+@query("hex_cover_join", "q r num_operadoras num_setores potencia_media:6 vulnerabilidade densidade_potencia:6", _hex_cover_sql(False))
 def hex_cover_join(s: Shapes):
     return TE.hex_cover_join(_hexes(s), _sectors(s), 2000.0, "operator", "erb")
 
 
-@query("hex_cover_join_all", "q r num_operadoras num_setores potencia_media:6 vulnerabilidade densidade_potencia:6")
+@query("hex_cover_join_all", "q r num_operadoras num_setores potencia_media:6 vulnerabilidade densidade_potencia:6", _hex_cover_sql(True))
 def hex_cover_join_all(s: Shapes):
     return TE.hex_cover_join(_hexes(s), _sectors(s), 2000.0, "operator", "erb", all_sectors=True)
 
 
-@query("hex_operator_matrix", "q r OP0 OP1 OP2 OP3")
+@query("hex_operator_matrix", "q r OP0 OP1 OP2 OP3", f"WITH {_HEX_SECTORS}\n--final\nSELECT q, r, " + ", ".join(f"count(*) FILTER (op = 'OP{k}') AS OP{k}" for k in range(4)) + " FROM hs GROUP BY q, r")
 def hex_operator_matrix(s: Shapes):
     p = TE.hex_sector_pairs(_hexes(s), _sectors(s), 2000.0).select(F.col("l_q").alias("q"), F.col("l_r").alias("r"), F.col("r_operator").alias("op"))
     return TE.hex_operator_matrix(p, ["OP0", "OP1", "OP2", "OP3"])
@@ -493,14 +511,16 @@ def station_station_edges(s: Shapes):
     return TE.station_station_edges(_members(s), "erb", "operator")
 
 
-@query("coverage_bipartite_graph", "kind edges km:4")
+@query("coverage_bipartite_graph", "kind edges km:4", f"""WITH RECURSIVE {_DB}, {_HEX_SECTORS}, m AS (SELECT erb, cluster_id, operator, x, y FROM v_stations JOIN db USING (erb) WHERE cluster_id >= 0)
+--final
+SELECT 'erb_hex' AS kind, count(*) AS edges, NULL::DOUBLE AS km FROM hs UNION ALL SELECT 'erb_erb', count(*), sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) / 1000 FROM m a JOIN m b ON a.cluster_id = b.cluster_id AND a.operator = b.operator AND a.erb < b.erb""")
 def coverage_bipartite_graph(s: Shapes):
     p = TE.hex_sector_pairs(_hexes(s), _sectors(s), 2000.0)
     g = TE.coverage_bipartite_graph(TE.station_hex_edges(p, "erb"), TE.station_station_edges(_members(s), "erb", "operator"))
     return g.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.sum("km").alias("km"))
 
 
-@query("redundancy", "erb hexagons redundancy:6")
+@query("redundancy", "erb hexagons redundancy:6", f"WITH {_HEX_SECTORS}, n AS (SELECT q, r, count(*) AS n FROM hs GROUP BY ALL)\n--final\nSELECT erb, count(*) AS hexagons, avg(n - 1) AS redundancy FROM hs JOIN n USING (q, r) GROUP BY erb")
 def redundancy(s: Shapes):
     return TE.redundancy(TE.station_hex_edges(TE.hex_sector_pairs(_hexes(s), _sectors(s), 2000.0), "erb"))
 
