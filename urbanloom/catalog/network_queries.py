@@ -48,11 +48,14 @@ def build_id_graph(s: Shapes):
     return GR.build_id_graph(s.reaches(), "src", "dst", "length")
 
 
-@query("build_road_graph", "edges connected")
+@query("build_road_graph", "street length:3", f"""WITH RECURSIVE l AS (SELECT street, {_px('src')} AS ax, {_py('src')} AS ay, {_px('dst')} AS qx, {_py('dst')} AS qy FROM v_streets), k AS (SELECT least((ax, ay), (qx, qy)) AS p, greatest((ax, ay), (qx, qy)) AS q, min(street) AS street, arg_min(sqrt((qx - ax) ** 2 + (qy - ay) ** 2), street) AS length FROM l WHERE (ax, ay) <> (qx, qy) GROUP BY 1, 2),
+    t AS (SELECT unnest([p, q]) AS node, street FROM k), e AS MATERIALIZED (SELECT DISTINCT a.street AS a, b.street AS b FROM t a JOIN t b USING (node) WHERE a.street <> b.street),
+    cc(n, c) USING KEY (n) AS (SELECT street, street FROM k UNION SELECT e.b, min(cc.c) FROM cc JOIN e ON e.a = cc.n JOIN recurring.cc r ON r.n = e.b WHERE cc.c < r.c GROUP BY e.b),
+    big AS (SELECT c FROM (SELECT c, node FROM cc JOIN t ON t.street = n) GROUP BY c ORDER BY count(DISTINCT node) DESC, c LIMIT 1)
+--final
+SELECT street, length FROM k JOIN cc ON n = street WHERE c = (SELECT c FROM big)""")
 def build_road_graph(s: Shapes):
-    g = cut_lineage(GR.build_road_graph(s.street_lines(), "street", "coords"))
-    parts = GR.component_sizes(GR.connected_components(g)).agg(F.count(F.lit(1)).alias("c")).scalar()
-    return g.agg(F.count(F.lit(1)).alias("edges")).withColumn("connected", parts == 1)
+    return GR.build_road_graph(s.street_lines(), "street", "coords")
 
 
 @query("build_tolerant_graph", "edges nodes", "SELECT count(*) AS edges, (SELECT count(*) FROM (SELECT DISTINCT unnest([(c[1].x, c[1].y), (c[len(c)].x, c[len(c)].y)]) AS p FROM v_roads)) AS nodes FROM v_roads")
@@ -71,11 +74,17 @@ def merge_nodes(s: Shapes):
     return e2.agg(F.count(F.lit(1)).alias("edges")).withColumn("nodes", n.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
-@query("snap_topology", "lines places")
+@query("snap_topology", "road ax:4 ay:4 qx:4 qy:4", """WITH RECURSIVE p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY p) AS id, p.x AS x, p.y AS y FROM (SELECT DISTINCT unnest([c[1], c[len(c)]]) AS p FROM v_roads)),
+    o AS (SELECT id, x, y, floor(x / 5) + i AS cx, floor(y / 5) + j AS cy FROM p, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
+    l AS MATERIALIZED (SELECT o.id AS a, p.id AS b FROM o JOIN p ON floor(p.x / 5) = cx AND floor(p.y / 5) = cy WHERE o.id <> p.id AND (o.x - p.x) ** 2 + (o.y - p.y) ** 2 <= 25),
+    cc(n, c) USING KEY (n) AS (SELECT id, id FROM p UNION SELECT l.b, min(cc.c) FROM cc JOIN l ON l.a = cc.n JOIN recurring.cc r ON r.n = l.b WHERE cc.c < r.c GROUP BY l.b),
+    m AS (SELECT c, avg(x) AS mx, avg(y) AS my FROM cc JOIN p ON id = n GROUP BY c), z AS (SELECT x, y, mx, my FROM cc JOIN p ON id = n JOIN m USING (c))
+--final
+SELECT road, a.mx AS ax, a.my AS ay, b.mx AS qx, b.my AS qy FROM v_roads v JOIN z a ON a.x = v.c[1].x AND a.y = v.c[1].y JOIN z b ON b.x = v.c[len(v.c)].x AND b.y = v.c[len(v.c)].y WHERE len(list_distinct(list_concat([{'x': a.mx, 'y': a.my}], v.c[2:len(v.c) - 1], [{'x': b.mx, 'y': b.my}]))) > 1""")
 def snap_topology(s: Shapes):
-    snapped = cut_lineage(GR.snap_topology(s.roads(), "road", "coords", 5.0))
-    ends = snapped.select(F.explode(F.array(G.first_point("coords"), G.last_point("coords"))).alias("p")).distinct()
-    return snapped.agg(F.count(F.lit(1)).alias("lines")).withColumn("places", ends.agg(F.count(F.lit(1)).alias("n")).scalar())
+    a, b = G.first_point("coords"), G.last_point("coords")
+    return GR.snap_topology(s.roads(), "road", "coords", 5.0).select(
+        "road", a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("qx"), b["y"].alias("qy"))
 
 
 @query("distinct_nodes", "nodes lo hi", "SELECT count(*) AS nodes, 0::BIGINT AS lo, count(*) - 1 AS hi FROM (SELECT DISTINCT unnest([(c[1].x, c[1].y), (c[len(c)].x, c[len(c)].y)]) AS p FROM v_roads)")

@@ -59,9 +59,13 @@ def build_id_graph(df: DataFrame, origin: str, target: str, weight: str) -> Data
 
 
 def build_road_graph(lines: DataFrame, key: str, coords: str, keep: Sequence[str] = ()) -> DataFrame:
-    """No self-loops, first parallel line wins, largest component only."""
-    e = simple_edges(line_endpoints(lines, key, coords, keep), key, ["length", *keep], last=False, loops=False)
-    return largest_component(e)
+    """No self-loops, first parallel line wins, largest component only (of equal ones that with the smallest key)."""
+    e = cut_lineage(simple_edges(line_endpoints(lines, key, coords, keep), key, ["length", *keep], last=False, loops=False))
+    cc = cut_lineage(connected_components(e))
+    named = e.join(cc, e["src"] == cc["node"]).drop("node")
+    first = named.groupBy("component").agg(F.min(key).alias("first")).join(component_sizes(cc), "component")
+    top = first.orderBy(F.desc("size"), "first").limit(1).select("component")
+    return named.join(F.broadcast(top), "component", "left_semi").drop("component")
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
