@@ -19,6 +19,7 @@ from ..plans import prepare as PR
 from ..scale import cut_lineage
 from .registry import query
 from .shapes import AFFINE, Shapes
+from .raster_queries import _CX, _CY, _GRAD, _NATURE, _ZC
 from .table_queries import _bins, _case, _words
 
 # ---- zoning -------------------------------------------------------------------------------------------------
@@ -412,12 +413,17 @@ def enrich_roads(s: Shapes):
     return d.withColumn("slope_class", F.when(ok, "x"))
 
 
-@query("enrich_landuse", "zone land_category size_category compactness_category elevation_category slope_category aspect_direction")
+@query("enrich_landuse", "zone land_category size_category compactness_category elevation_category slope_category aspect_direction", f"""WITH e AS (SELECT zone, max(value) - min(value) AS span FROM ({_ZC}) GROUP BY zone), g AS (SELECT zone, avg(s) AS s, avg(a) AS a FROM v_zones z JOIN (SELECT "row", col, degrees(atan(sqrt(g_row * g_row + g_col * g_col))) AS s, (degrees(atan2(-g_row, g_col)) + 360) % 360 AS a FROM ({_GRAD})) ON {_CX} > x0 AND {_CX} < x1 AND {_CY} > y0 AND {_CY} < y1 GROUP BY zone)
+--final
+SELECT zone, {_words('landuse', L.LAND_KEYWORDS, 'unknown', 'other')} AS land_category, {_bins('area / 1e6', 'land_size')} AS size_category, {_bins('least(1, 4 * pi() * area / perimeter ** 2)', 'compactness')} AS compactness_category, {_bins('span', 'elevation_range')} AS elevation_category, {_bins('g.s', 'land_slope')} AS slope_category,
+    CASE WHEN a IS NULL THEN 'Indefinido' WHEN a < 22.5 OR a >= 337.5 THEN 'Norte' WHEN a < 67.5 THEN 'Nordeste' WHEN a < 112.5 THEN 'Leste' WHEN a < 157.5 THEN 'Sudeste' WHEN a < 202.5 THEN 'Sul' WHEN a < 247.5 THEN 'Sudoeste' WHEN a < 292.5 THEN 'Oeste' ELSE 'Noroeste' END AS aspect_direction FROM v_zones LEFT JOIN e USING (zone) LEFT JOIN g USING (zone)""")
 def enrich_landuse(s: Shapes):
     return EN.enrich_landuse(s.zones().select("zone", "landuse", "ring"), "zone", s.cells(), AFFINE, 500.0)
 
 
-@query("enrich_natural", "zone relief_class ecological_protection_category")
+@query("enrich_natural", "zone relief_class ecological_protection_category", f"""{_NATURE}
+--final
+SELECT v_zones.zone, {_bins('(b - a)', 'relief')} AS relief_class, {_bins('coalesce(epi, 0)', 'eco')} AS ecological_protection_category FROM v_zones LEFT JOIN r ON r.zone = v_zones.zone""")
 def enrich_natural(s: Shapes):
     return EN.enrich_natural(s.zones().select("zone", "ring"), "zone", s.cells(), AFFINE, 500.0)
 

@@ -133,9 +133,12 @@ def assign_risk_from_cells(s: Shapes):
     return R.assign_risk_from_cells(s.buildings(), R.flood_zones(_susceptibility(s), _LEVELS), "id", AFFINE, 30.0)
 
 
-@query("nature_indices", "zone relief_class terrain_profile exposure_index:7 elevation_percentile:6 elevation_zone hydrological_relevance:6 ecological_protection_index:6 ecological_protection_category", f"""WITH g AS (SELECT zone, min(value) AS a, max(value) AS b, avg(value) AS m, stddev_pop(value) AS sd, median(value) AS med, quantile_cont(value, 0.1) AS q1, quantile_cont(value, 0.9) AS q9 FROM ({_ZC}) GROUP BY zone),
+_NATURE = f"""WITH g AS (SELECT zone, min(value) AS a, max(value) AS b, avg(value) AS m, stddev_pop(value) AS sd, median(value) AS med, quantile_cont(value, 0.1) AS q1, quantile_cont(value, 0.9) AS q9 FROM ({_ZC}) GROUP BY zone),
     k AS (SELECT *, CASE WHEN b > a THEN CASE WHEN (med - a) / (b - a) < 0.4 THEN -1 WHEN (med - a) / (b - a) > 0.6 THEN 1 ELSE 0 END END::DOUBLE AS pr, (rank() OVER (ORDER BY m) - 1 + count(*) OVER (ORDER BY m) + 1) * 50.0 / count(*) OVER () AS pc, max(m) OVER () AS mm, max(sd) OVER () AS ms, max(b - a) OVER () AS mr, (SELECT quantile_cont(m, 0.25) FROM g) AS q25 FROM g),
-    r AS (SELECT *, m / mm * 0.4 + sd / ms * 0.4 + (b - a) / mr * 0.2 AS epi FROM k)
+    r AS (SELECT *, m / mm * 0.4 + sd / ms * 0.4 + (b - a) / mr * 0.2 AS epi FROM k)"""
+
+
+@query("nature_indices", "zone relief_class terrain_profile exposure_index:7 elevation_percentile:6 elevation_zone hydrological_relevance:6 ecological_protection_index:6 ecological_protection_category", f"""{_NATURE}
 --final
 SELECT v_zones.zone, {_bins('(b - a)', 'relief')} AS relief_class, pr AS terrain_profile, CASE WHEN m > 0 THEN (q9 - q1) / m END AS exposure_index, pc AS elevation_percentile, {_bins('m', 'elevation_zone')} AS elevation_zone,
     CASE WHEN m <= q25 THEN 0.5 ELSE 0.5 * (1 - (m - q25) / (mm - q25)) END + 0.25 * (1 - sd / ms) + CASE pr WHEN -1 THEN 0.25 WHEN 0 THEN 0.125 ELSE 0 END AS hydrological_relevance, epi AS ecological_protection_index, {_bins('coalesce(epi, 0)', 'eco')} AS ecological_protection_category FROM v_zones LEFT JOIN r ON r.zone = v_zones.zone""")
