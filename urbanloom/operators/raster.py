@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,10 +188,19 @@ def distance_to_burned(cells: DataFrame, burned: DataFrame, res: float, cap: flo
     down = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     v = marked.withColumns({"u": F.col("row") - up, "d": down - F.col("row")})
     v = v.select("row", "col", F.least("u", "d").alias("v")).where(F.col("v") <= k)
-    s = v.select("row", F.explode(F.sequence(F.col("col") - k, F.col("col") + k)).alias("c"), "col", "v")
-    near = s.groupBy("row", F.col("c").alias("col")).agg(
-        F.min((F.col("c") - F.col("col")) * (F.col("c") - F.col("col")) + F.col("v") * F.col("v")).alias("d2")
-    )
+    # along rows in tiles: a cell belongs to its own tile and, within k cells of an edge, to the next one
+    wide = max(256, 2 * k)
+    tiles = F.array_distinct(F.array(*[F.floor((F.col("col") + o) / wide) for o in (-k, 0, k)]))
+    parts = v.select("row", "col", "v", F.explode(tiles).alias("tile"))
+
+    def nearest(part: pd.DataFrame) -> pd.DataFrame:
+        at = int(part["tile"].iloc[0]) * wide + np.arange(wide)
+        gap = at[:, None] - part["col"].to_numpy(np.int64)[None, :]
+        d2 = (gap * gap + part["v"].to_numpy(np.int64)[None, :] ** 2).min(axis=1)
+        return pd.DataFrame({"row": part["row"].iloc[0], "col": at, "d2": d2})[d2 <= k * k]
+
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in ("row", "col")}
+    near = parts.groupBy("row", "tile").applyInPandas(nearest, f"row {kinds['row']}, col {kinds['col']}, d2 bigint")
     dist = F.least(F.lit(float(cap)), F.sqrt("d2") * res)
     return cells.select("row", "col").join(near, ["row", "col"], "left").select("row", "col", F.coalesce(dist, F.lit(float(cap))).alias("distance"))
 
