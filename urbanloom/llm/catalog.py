@@ -89,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_html_text, op3_quality_rules, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_language_id, op8_minhash, op9_quality_classifier, op10_suffix_array_dedup)
 }
 
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
         WITH n AS (
@@ -98,4 +100,44 @@ ORACLE_SQL: dict[str, str] = {
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
         FROM n JOIN g ON n.t = g.t
     """,
+    "op5_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        win AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)
+        ), lo AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k),
+        gone AS (
+            SELECT DISTINCT doc_id, i + j AS p
+            FROM (SELECT doc_id, i, unnest(range(50)) AS j FROM win JOIN lo USING (k) WHERE first < doc_id)
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+            FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p)
+            GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    "op8_minhash": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        grams AS (
+            SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS k
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)
+        ), tf AS (SELECT doc_id, k, count(*) AS n FROM grams GROUP BY ALL),
+        idf AS (SELECT k, count(*) AS df, 1 + 0.05 * ln((SELECT count(*) FROM d) / count(*)) / ln((SELECT count(*) FROM d)) AS v FROM tf GROUP BY k),
+        total AS (SELECT doc_id, sum(n * v) AS t FROM tf JOIN idf USING (k) GROUP BY doc_id),
+        shared AS (SELECT doc_id, k, n, v FROM tf JOIN idf USING (k) WHERE df > 1),
+        pair AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n) * a.v) AS c
+            FROM shared a JOIN shared b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL
+        ), link AS (
+            SELECT a, b FROM pair JOIN total x ON x.doc_id = a JOIN total y ON y.doc_id = b
+            WHERE c >= 0.8 * (x.t + y.t - c)
+        ), way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        cc(n, c) USING KEY (n) AS (
+            SELECT doc_id, doc_id FROM d
+            UNION SELECT way.b, min(cc.c) FROM cc JOIN way ON way.a = cc.n JOIN recurring.cc r ON r.n = way.b
+            WHERE cc.c < r.c GROUP BY way.b
+        )
+        SELECT n AS doc_id, c AS class_id, count(*) OVER (PARTITION BY c) AS class_size, n = c AS kept FROM cc
+    """,
 }
