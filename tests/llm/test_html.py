@@ -9,6 +9,7 @@ PROSE = "It was a long day, and the road went on; nobody spoke. Then, at last, t
     "<article><h1>Title here</h1>{}</article>",
     "<div class='wrap'><div class='content'><h2>Title here</h2>{}</div></div>",
     "<main><section><h1>Title here</h1>{}</section></main>",
+    "<div id='page'><div class='post-7 post'><h2>Title here</h2><div class='text'>{}</div></div></div>",
 ])
 def test_boilerplate_goes(layout):
     body = f"<p>{PROSE} One &amp; two.<p>{PROSE}\n  <b>Bold</b> <a href=x>linked</a> end.<br>Next</p><ul><li>{PROSE}</li></ul>"

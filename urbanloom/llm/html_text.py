@@ -35,6 +35,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 RAW_TAGS = frozenset("script style title textarea noscript template iframe svg math object select button head".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
+CONTENT_WORDS = frozenset("article entry post story".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "copyright disclaimer disqus foot footer form header legal login masthead menu modal nav navbar navigation newsletter "
@@ -59,7 +60,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…¿¡、。，！？]")
 class Block:
     path: tuple[str, ...]
     banned: bool
-    within: bool  # inside an article or main element
+    within: bool  # inside an element named as the article
     text: str
     linked: int
 
@@ -124,6 +125,7 @@ class _Reader:
         banned = above.banned or tag in BOILERPLATE_TAGS or (tag == "header" and not above.within)
         banned = banned or (tag not in ("html", "body") and tag not in CONTENT_TAGS and not BOILERPLATE_WORDS.isdisjoint(labels))
         within = above.within or tag in CONTENT_TAGS
+        within = within or (tag not in ("html", "body") and not CONTENT_WORDS.isdisjoint(labels))
         self.stack.append(_Open(tag, ".".join([tag, *labels[:3]]), banned, within))
 
     def end(self, tag: str) -> None:
