@@ -91,6 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
+
+
+def _hex7(text: str) -> str:
+    """Number of the first seven hexadecimal digits."""
+    return "(" + " + ".join(f"(strpos('0123456789abcdef', substr({text}, {i}, 1)) - 1) * {16 ** (7 - i)}" for i in range(1, 8)) + ")"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
         WITH n AS (
@@ -117,6 +124,43 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op6_mixing": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('18:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+                {_hex7("md5('17:' || coalesce(CAST(doc_id AS VARCHAR), ''))")} % (SELECT greatest(1, CAST(ceil(count(*) / 2000) AS BIGINT)) FROM documents) AS shard
+            FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM d GROUP BY source
+        ), fill(i, place, size, weight, full_up) AS (
+            SELECT 0, place, source_size, (place - 1) % 3 + 1.0::DOUBLE, false FROM s
+            UNION ALL SELECT i + 1, place, size, weight, full_up OR share > 3 * size FROM (
+                SELECT *, (sum(size) OVER () - coalesce(sum(3 * size) FILTER (full_up) OVER (), 0)) * weight / sum(weight) FILTER (NOT full_up) OVER () AS share FROM fill
+            ) WHERE i < (SELECT count(*) FROM s)
+        ), goal AS (
+            SELECT place, CASE WHEN full_up THEN 3.0::DOUBLE * size ELSE (sum(size) OVER () - coalesce(sum(3 * size) FILTER (full_up) OVER (), 0)) * weight / sum(weight) FILTER (NOT full_up) OVER () END AS target
+            FROM fill WHERE i = (SELECT count(*) FROM s)
+        ), cell AS (
+            SELECT shard, place, any_value(source_size) AS source_size, any_value(target) AS target, CAST(sum(size) AS BIGINT) AS cell
+            FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN goal USING (place) GROUP BY shard, place
+        ), votes AS (
+            SELECT *, CASE WHEN source_size > 0 THEN target * cell / source_size ELSE 0 END AS v FROM cell
+        ), seats AS (SELECT shard, CAST(round_even(sum(v) / 64, 0) AS BIGINT) AS seats, sum(v) AS total FROM votes GROUP BY shard),
+        quotient AS (
+            SELECT shard, place, v / (2 * k + 1) AS q
+            FROM (SELECT shard, place, v, unnest(range(CAST(ceil(v / total * seats) AS BIGINT) + 3)) AS k FROM votes JOIN seats USING (shard) WHERE total > 0)
+        ), won AS (
+            SELECT shard, place, count(*) AS got
+            FROM (SELECT shard, place, row_number() OVER (PARTITION BY shard ORDER BY q DESC, place) AS n FROM quotient) JOIN seats USING (shard)
+            WHERE n <= seats GROUP BY shard, place
+        ), quota AS (SELECT cell.*, least(coalesce(got, 0) * 64, 3 * cell) AS quota FROM cell LEFT JOIN won USING (shard, place)),
+        laid AS (
+            SELECT d.*, place, coalesce(sum(size) OVER (PARTITION BY shard, place ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+        )
+        SELECT doc_id, size, source_size, target, CAST(
+            CASE WHEN cell > 0 THEN quota // cell * size + greatest(0, least(size, quota - quota // cell * cell - before)) ELSE 0 END AS BIGINT
+        ) AS taken FROM laid JOIN quota USING (shard, place)
+    """,
     "op8_minhash": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         grams AS (

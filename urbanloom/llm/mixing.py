@@ -97,10 +97,11 @@ def mix(
     n = docs.select(F.count(F.lit(1)).alias("n")).first()["n"]
     shards = max(1, -(-n // shard_docs))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.xxhash64(F.lit(seed), F.col(id_col))
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key, deal = (F.md5(F.concat(F.lit(f"{k}:"), name)) for k in (seed + 1, seed))
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_src"), size.alias("_size"),
-        F.pmod(key, F.lit(shards)).cast("long").alias("_shard"), F.xxhash64(F.lit(seed + 1), F.col(id_col)).alias("_key"),
+        (F.conv(F.substring(deal, 1, 7), 16, 10).cast("long") % shards).alias("_shard"), key.alias("_key"),
         *([whole_row(docs).alias("_row")] if row else []),
     )
     rows = rows.repartition("_shard", "_src")  # words are counted once; totals and running sums share this exchange
