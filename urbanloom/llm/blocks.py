@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textvec import release
+
 BLOCK_BYTES = 3 << 20
 U8, U64, I64, I32 = np.dtype("<u1"), np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4")
 NO_ID = np.iinfo(np.int64).min  # stands for a null id: smaller than every other
@@ -65,6 +67,22 @@ def deal(shard: np.ndarray, sender: int, columns: list[np.ndarray], names: list[
     return pa.table([pa.array(keys, pa.int64()), pa.array(np.full(len(keys), sender), pa.int64()), *packed], names=names)
 
 
+def tidy(step):
+    """``step`` of a block or shard, freeing its memory at the end."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = step(table)
+        release()
+        return out
+
+    def two(table: pa.Table, told: pa.Table) -> pa.Table:
+        out = step(table, told)
+        release()
+        return out
+
+    return one if step.__code__.co_argcount == 1 else two
+
+
 def unpack(col: pa.ChunkedArray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All entries of packed rows, and the row each came from."""
     raw = col.to_pylist()

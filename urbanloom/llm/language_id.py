@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textvec import slices, text_bytes
+from .textvec import release, slices, text_bytes
 
 # Families of common language codes. A code not listed is a family of its own.
 FAMILIES = {
@@ -69,8 +69,8 @@ def features(data: np.ndarray, off: np.ndarray, bits: int) -> list[tuple[np.ndar
         for g in found:
             ids, count = np.unique(g, return_counts=True)
             where.append(ids)
-            share.append(count / len(g))
-        out.append((np.concatenate(where), np.concatenate(share)) if found else (np.zeros(0, int), np.zeros(0)))
+            share.append((count / len(g)).astype(np.float32))
+        out.append((np.concatenate(where), np.concatenate(share)) if found else (np.zeros(0, np.int32), np.zeros(0, np.float32)))
     return out
 
 
@@ -150,7 +150,7 @@ class Model:
 
 
 def fit(
-    docs: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = 4000, bits: int = 16, epochs: int = 4,
+    docs: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = 3000, bits: int = 16, epochs: int = 4,
     seed: int = 7, most_langs: int = 200,
 ) -> Model:
     """Train on at most ``sample`` labelled rows of ``docs``, for the ``most_langs`` commonest languages at most."""
@@ -183,6 +183,8 @@ def fit(
             if family_of(a) == family_of(b):
                 machine(lang, a, b, "lang:")
         out += [(x, "", b"") for x in sorted(set(lang))]
+        del rows
+        release()
         return pd.DataFrame(out, columns=["a", "b", "w"])
 
     found = rows.groupBy("all").applyInPandas(train, "a string, b string, w binary").collect()  # the model only
@@ -207,6 +209,7 @@ def identify(
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, *names]
             )
+        release()
 
     added = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, *added]))

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from urbanloom.scale import ensure_checkpoint_dir
 
+from .textvec import release
+
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
 
@@ -53,7 +55,7 @@ class TextEncoder:
 
     PROBE = " The cat's  2 \n\n naïve déjà-vu  #*$%&|<> ## x=1;\ttab \u4f60\u597d 12,345.67 don't  <|endoftext|> "
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -142,18 +144,20 @@ def write_tokens(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, en
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pack = _encoder(tokenizer), zstandard.ZstdCompressor(level=1)
         place = 0
-        for b in batches:
-            ids, ns = [], []
-            texts = [x or "" for x in b.column(2).to_pylist()]
-            for encoded in (x for i in range(0, len(texts), 256) for x in enc.encode(texts[i : i + 256])):
-                got = np.append(encoded, end_id).astype("<u4")
-                small = got.astype("<u2") if got.max() < 1 << 16 else got
-                ids.append(bytes([small.itemsize]) + pack.compress(small.tobytes()))
-                ns.append(len(got))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(range(place, place + len(ns)), pa.int64()), b.column(1),
-                 pa.array(ns, pa.int64()), pa.array(ids, pa.binary())], ["part", "place", "id", "n", "ids"])
-            place += len(ns)
+        for big in batches:
+            for b in (big.slice(i, 128) for i in range(0, big.num_rows, 128)):
+                ids, ns = [], []
+                for encoded in enc.encode([x or "" for x in b.column(2).to_pylist()]):
+                    got = np.append(encoded, end_id).astype("<u4")
+                    small = got.astype("<u2") if got.max() < 1 << 16 else got
+                    ids.append(bytes([small.itemsize]) + pack.compress(small.tobytes()))
+                    ns.append(len(got))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(range(place, place + len(ns)), pa.int64()), b.column(1),
+                     pa.array(ns, pa.int64()), pa.array(ids, pa.binary())], ["part", "place", "id", "n", "ids"])
+                place += len(ns)
+        enc.forget()
+        release()
 
     rows = docs.select(F.spark_partition_id().cast("long").alias("part"), F.col(id_col).alias("id"),
                        F.col(text_col).cast("string").alias("text"))
@@ -187,7 +191,7 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (big.slice(i, 512) for big in batches for i in range(0, big.num_rows, 512)):
             out: dict[str, list] = {k: [] for k in ("row", "start", "length", "ids", "crc", "doc", "seq", "offset")}
             for row, (at, raw) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 ids = np.frombuffer(unpack.decompress(raw[1:]), f"<u{raw[0]}").astype("<u4")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .blocks import I32, U8, U64, Lookup, block_table, deal, longs, null_ids, runs, unpack
 from .suffixes import permuted_prefixes, suffix_array
-from .textvec import _bases, mix, powers, slices, text_bytes
+from .textvec import FACTOR, INVERSE, _table, mix, powers, slices, text_bytes
 
 GAP = 0xFF  # never a byte of UTF-8
 MOST = 512  # windows of one piece
@@ -40,10 +40,9 @@ class Rolling:
     """Hashes of any substrings of ``data`` with one seed."""
 
     def __init__(self, data: np.ndarray, seed: int) -> None:
-        table, factor, inverse = _bases(seed)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(table[data] * powers(factor, len(data)), out=self.sums[1:])
-        self.back = powers(inverse, len(data) + 1)
+        np.cumsum(_table(seed)[data] * powers(FACTOR, len(data)), out=self.sums[1:])
+        self.back = powers(INVERSE, len(data) + 1)
 
     def all(self, n: int) -> np.ndarray:
         """Hash of the ``n`` bytes at every place that has them."""

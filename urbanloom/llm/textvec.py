@@ -5,12 +5,22 @@ Words are ``[^\\x20\\x09-\\x0D]+``. Everything here works on one Arrow batch; no
 
 from __future__ import annotations
 
+import ctypes
 import functools
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+
+def release() -> None:
+    """Give freed memory back to the system: workers stay between tasks, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -30,7 +40,7 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(off: np.ndarray, most: int = 2_000_000) -> list[tuple[int, int]]:
+def slices(off: np.ndarray, most: int = 1_000_000) -> list[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes, to keep temporary arrays small; a longer text is a run of its own."""
     out, i, n = [], 0, len(off) - 1
     while i < n:
@@ -60,32 +70,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(8)
-def _bases(seed: int) -> tuple[np.ndarray, int, int]:
-    """A random value per byte, an odd factor and its inverse modulo 2**64."""
-    table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed))
-    factor = int(mix(np.array([seed + 1], dtype=np.uint64))[0]) | 5
-    return table, factor, pow(factor, -1, 1 << 64)
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
-@functools.lru_cache(8)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+@functools.lru_cache(32)
+def _table(seed: int) -> np.ndarray:
+    """A random value per byte; seeds give independent hashes with one factor."""
+    return mix(mix(np.arange(1, 257, dtype=np.uint64)) + np.uint64(0x632BE59BD9B4E019 * (seed + 1) & (1 << 64) - 1))
+
+
+_kept: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base`` to the power 0, 1, .. n - 1 modulo 2**64; sizes are rounded up so that few tables are kept."""
-    return _powers(base, 1 << max(12, int(n).bit_length()))[:n]
+    """``base`` to the power 0, 1, .. n - 1 modulo 2**64; up to 2**21 of them are kept for the next call."""
+    if len(_kept.get(base, ())) >= n:
+        return _kept[base][:n]
+    out = np.full(max(n, 1 << 12), base, dtype=np.uint64)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if n <= 1 << 21:
+        _kept[base] = out
+    return out[:n]
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hash of every byte span ``[start, end)``."""
-    table, factor, inverse = _bases(seed)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(table[data] * powers(factor, len(data)), out=sums[1:])
-    back = powers(inverse, len(data) + 1)
+    np.cumsum(_table(seed)[data] * powers(FACTOR, len(data)), out=sums[1:])
+    back = powers(INVERSE, len(data) + 1)
     return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
 
 
@@ -93,18 +107,16 @@ def window_hashes(items: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """64-bit hash of every run of ``n`` consecutive items (64-bit values); ``len(items) - n + 1`` of them."""
     if len(items) < n:
         return np.zeros(0, dtype=np.uint64)
-    _, factor, inverse = _bases(seed)
     sums = np.zeros(len(items) + 1, dtype=np.uint64)
-    np.cumsum(mix(items + np.uint64(seed)) * powers(factor, len(items)), out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * powers(inverse, len(items) + 1)[: len(items) - n + 1])
+    np.cumsum(mix(items + np.uint64(0x632BE59BD9B4E019 * seed & (1 << 64) - 1)) * powers(FACTOR, len(items)), out=sums[1:])
+    return mix((sums[n:] - sums[:-n]) * powers(INVERSE, len(items) + 1)[: len(items) - n + 1])
 
 
 def range_hashes(items: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hash of the items in every range ``[start, end)``."""
-    _, factor, inverse = _bases(seed)
     sums = np.zeros(len(items) + 1, dtype=np.uint64)
-    np.cumsum(mix(items + np.uint64(seed)) * powers(factor, len(items)), out=sums[1:])
-    return mix((sums[end] - sums[start]) * powers(inverse, len(items) + 1)[start] + (end - start).astype(np.uint64))
+    np.cumsum(mix(items + np.uint64(0x632BE59BD9B4E019 * seed & (1 << 64) - 1)) * powers(FACTOR, len(items)), out=sums[1:])
+    return mix((sums[end] - sums[start]) * powers(INVERSE, len(items) + 1)[start] + (end - start).astype(np.uint64))
 
 
 def text_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
