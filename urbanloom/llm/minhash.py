@@ -10,9 +10,11 @@
    are drawn at once: the smallest of their exponential marks is exponential in their total weight. Two texts agree in
    a sample with probability equal to their weighted Jaccard similarity; at 0.8 a pair shares no band with
    probability 3e-6.
-4. In every bucket all texts are compared with the one of the smallest hashed id, by their exact weighted Jaccard
-   similarity. Verified links are joined to components. In buckets that still hold several components, all pairs
-   across components are compared, so no link is lost inside a bucket; a bucket of near copies needs none of that.
+4. In every bucket all texts are compared with its pivot, by their exact weighted Jaccard similarity. The pivot is the
+   text with the most common shingles: in a group of edited copies that is the text they were copied from. Verified
+   links are joined to components. In buckets that still hold several components, pairs across components are
+   compared too, but for those that an exact bound excludes; so no link inside a bucket is lost, and a bucket of near
+   copies does not make all its pairs.
 
 Comparison moves the pivots' features to the blocks of the texts compared with them, once per block.
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from urbanloom.operators.graph import connected_components
 from urbanloom.scale import round_table
 
-from .blocks import I32, I64, U64, block_table, deal, fresh, longs, runs, unpack
+from .blocks import I32, I64, U64, block_table, deal, fresh, longs, runs, tidy, unpack
 from .substring_dedup import Words
 from .textvec import mix, range_hashes, window_hashes
 
@@ -220,6 +222,9 @@ def sketch(
         chosen = np.flatnonzero(able)
         starts = np.searchsorted(s.doc[take], chosen)
         ends = np.r_[starts[1:], len(take)]
+        # shared weight by 64 buckets of shingles: bounds from above what two texts share
+        spread = np.zeros((len(s.ids), 64))
+        np.add.at(spread, (s.doc[take], (s.key[take] & np.uint64(63)).astype(np.int64)), weight[take])
         features: list[bytes | None] = [None] * len(s.ids)
         marks: list[bytes | None] = [None] * len(s.ids)
         if len(chosen):
@@ -230,20 +235,26 @@ def sketch(
             for k, (i, a, b) in enumerate(zip(chosen.tolist(), starts.tolist(), ends.tolist(), strict=True)):
                 features[i] = _pack(s.key[take[a:b]], weight[take[a:b]])
                 marks[i] = band[k].astype(U64).tobytes()
+        # how common a text's shingles are: highest for what many others were copied from
+        sums[1:, 0] = np.cumsum(weight * np.log(freq))
+        centre = (sums[s.bounds[1:], 0] - sums[s.bounds[:-1], 0]) / np.maximum(mass[:, 0], 1e-9)
         return pa.table({"id": pa.array(s.ids), "rep": pa.array(rep), "total": pa.array(mass[:, 0]),
+                         "shared": pa.array(mass[:, 1]), "centre": pa.array(centre),
+                         "spread": pa.array([list(r) if a else None for r, a in zip(spread, able, strict=True)], pa.list_(pa.float64())),
                          "features": pa.array(features, pa.binary()), "bands": pa.array(marks, pa.binary())})
 
     sent = blocks.applyInArrow(
-        send, "shard long, block long, low binary, high binary, df binary, e0 binary, e1 binary, eid binary")
+        tidy(send), "shard long, block long, low binary, high binary, df binary, e0 binary, e1 binary, eid binary")
     told = sent.groupBy("shard").applyInArrow(
-        answer, "block long, shard long, place binary, df binary, e0 binary, e1 binary, eid binary")
+        tidy(answer), "block long, shard long, place binary, df binary, e0 binary, e1 binary, eid binary")
     out = blocks.cogroup(told.groupBy("block")).applyInArrow(
-        draw, "id long, rep long, total double, features binary, bands binary")
+        tidy(draw), "id long, rep long, total double, shared double, centre double, spread array<double>, features binary, bands binary")
     return round_table(out)
 
 
-def verified(pairs: DataFrame, table: DataFrame, threshold: float, groups: int) -> DataFrame:
-    """Of ``pairs`` (``src`` and ``dst``), those whose weighted Jaccard similarity reaches the threshold.
+def compared(pairs: DataFrame, table: DataFrame, threshold: float, groups: int) -> DataFrame:
+    """``(src, dst, common, linked)`` of ``pairs``: the weight both share, and whether their weighted Jaccard similarity
+    reaches the threshold.
 
     The features of each ``src`` go once to every block that holds one of its partners.
     """
@@ -273,17 +284,57 @@ def verified(pairs: DataFrame, table: DataFrame, threshold: float, groups: int)
                 total, raw = mine[dst]
                 last, opened = dst, (total, *_unpack(raw))
             (ta, ka, wa), (tb, kb, wb) = others[src], opened
-            if min(ta, tb) < threshold * max(ta, tb) * (1 - 1e-9):
-                continue
             at = np.minimum(np.searchsorted(ka, kb), len(ka) - 1)
             hit = ka[at] == kb
             common = float(np.minimum(wa[at[hit]], wb[hit]).sum(dtype=np.float64))
-            if common >= threshold * (ta + tb - common) * (1 - 1e-6):
-                found.append((src, dst))
-        return pa.table({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
+            found.append((src, dst, common, common >= threshold * (ta + tb - common) * (1 - 1e-6)))
+        columns = list(zip(*found, strict=True)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["src", "dst", "common", "linked"])
 
     mine = held.select(block("id"), F.col("id").alias("own"), F.col("total").alias("sum"), F.col("features").alias("held"))
-    return mine.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(compare, "src long, dst long")
+    return mine.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+        tidy(compare), "src long, dst long, common double, linked boolean")
+
+
+def _open_pairs(named: DataFrame, scored: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(src, dst)`` of buckets' members (``band, id, pivot, component``) that may still link two components.
+
+    What two texts share lies in their pivot or outside it, so its weight is at most the smaller weight shared with
+    the pivot plus the smaller shared weight outside it; nor is it more than the smaller weights of 64 buckets of
+    shingles add up to. Pairs whose bound misses the threshold are no links (exact);
+    that leaves out nearly all pairs of a group of copies, whose texts agree only where they agree with the pivot.
+    """
+    masses = table.where("features is not null").select(F.col("id").alias("mid"), "total", "shared", F.col("bands").alias("all"), "spread")
+    common = scored.select(F.col("src").alias("cs"), F.col("dst").alias("cd"), "common")
+    rows = named.join(masses, F.col("id") == F.col("mid")).join(
+        common, (F.col("pivot") == F.col("cs")) & (F.col("id") == F.col("cd")), "left"
+    ).select("band", "id", "pivot", "component", "total", F.coalesce("common", "shared").alias("inner"),
+             (F.col("shared") - F.coalesce("common", "shared")).alias("outer"), "all", "spread")
+    rows = round_table(rows)
+    sizes = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("low"))
+    largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.min("low").alias("low"))
+    marked = rows.join(largest, "band")
+    part = threshold / (1 + threshold) * (1 - 1e-6)  # of both totals, that a link must share
+    x = marked.where(
+        (F.col("component") != F.col("main")) & (F.col("inner") + F.col("outer") >= part * (F.col("total") + F.greatest("low", threshold * F.col("total"))))
+    ).select("band", F.col("id").alias("x"), F.col("component").alias("xc"), F.col("inner").alias("xi"), F.col("outer").alias("xo"), F.col("total").alias("xt"), F.col("all").alias("xb"), F.col("spread").alias("xs"))
+    y = marked.select("band", F.col("id").alias("y"), F.col("component").alias("yc"), "main", F.col("inner").alias("yi"),
+                      F.col("outer").alias("yo"), F.col("total").alias("yt"), F.col("all").alias("yb"), F.col("spread").alias("ys"))
+    needed = part * (F.col("xt") + F.col("yt"))
+    most = F.aggregate(F.zip_with("xs", "ys", lambda a, b: F.least(a, b)), F.lit(0.0), lambda a, b: a + b)
+    bound = F.when(F.least("xi", "yi") + F.least("xo", "yo") >= needed, most >= needed).otherwise(F.lit(False))
+    once = (F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))
+    # a pair counts in the first band that both share; the others would only repeat it
+    places = F.sequence(F.lit(1), F.octet_length("xb") - 7, F.lit(8))
+    piece = lambda c, i: F.substring(F.col(c), i, F.lit(8))
+    first = F.element_at(F.filter(places, lambda i: piece("xb", i) == piece("yb", i)), 1)
+    here = piece("xb", first) == x["band"]
+    cross = x.join(y, (x["band"] == y["band"]) & F.when((F.col("xc") != F.col("yc")) & once & bound, here).otherwise(F.lit(False)))
+    pairs = cross.select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct()
+    for done in (common.select(F.col("cs").alias("src"), F.col("cd").alias("dst")), common.select(F.col("cd").alias("src"), F.col("cs").alias("dst"))):
+        pairs = pairs.join(done, ["src", "dst"], "left_anti")
+    return pairs
 
 
 def near_duplicates(
@@ -294,28 +345,20 @@ def near_duplicates(
     table = sketch(docs, id_col, text_col, words, threshold, damp, bands, rows)
     groups = max(1, table.where("features is not null").count() // 500)
     split = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring(F.col("bands"), i * 8 + 1, F.lit(8)))
-    entries = table.where("bands is not null").select("id", F.explode(split).alias("band"))
-    entries = entries.withColumn("place", F.xxhash64("id"))
-    pivots = entries.groupBy("band").agg(F.min_by("id", F.struct("place", "id")).alias("pivot"), F.count(F.lit(1)).alias("n"))
+    entries = table.where("bands is not null").select("id", "centre", F.explode(split).alias("band"))
+    pivots = entries.groupBy("band").agg(F.max_by("id", F.struct("centre", "id")).alias("pivot"), F.count(F.lit(1)).alias("n"))
     full = entries.join(pivots.where("n > 1"), "band").select("band", "id", "pivot")
     bucketed = round_table(full)
     first = bucketed.where("id <> pivot").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct()
-    links = round_table(verified(first, table, threshold, groups))
+    scored = round_table(compared(first, table, threshold, groups))
+    links = round_table(scored.where("linked").select("src", "dst"))
     parts = connected_components(links)
     # buckets in which some texts are not yet linked to each other
     named = bucketed.join(parts, bucketed["id"] == parts["node"], "left").select(
         "band", "id", "pivot", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    open_ = round_table(named.join(mixed.select("band"), "band"))
-    sizes = open_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    marked = open_.join(largest, "band")
-    small = marked.where(F.col("component") != F.col("main")).select("band", F.col("id").alias("x"), F.col("component").alias("xc"))
-    cross = small.join(marked.select("band", F.col("id").alias("y"), F.col("component").alias("yc"), "main"), "band").where(
-        (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))))
-    rest = cross.select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct().join(first, ["src", "dst"], "left_anti")
-    rest = rest.join(first.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
-    more = round_table(verified(rest, table, threshold, groups))
+    rest = _open_pairs(named.join(mixed.select("band"), "band"), scored, table, threshold)
+    more = round_table(compared(rest, table, threshold, groups).where("linked").select("src", "dst"))
     if not more.isEmpty():
         parts = connected_components(round_table(links.unionByName(more)))
     found = table.select("id", "rep").join(parts, F.col("rep") == F.col("node"), "left")
