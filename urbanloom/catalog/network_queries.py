@@ -222,6 +222,20 @@ def betweenness_sampled(s: Shapes):
     return CE.betweenness(_simple(s), k=100)
 
 
+def _weighted(e):
+    return e.withColumn("length", (F.col("street") % 97 + 1).cast("double"))
+
+
+@query("betweenness_exact", "node betweenness:9")
+def betweenness_exact(s: Shapes):
+    return CE.betweenness(_weighted(_simple(s)), "length")
+
+
+@query("edge_betweenness_exact", "street betweenness:9")
+def edge_betweenness_exact(s: Shapes):
+    return CE.line_betweenness(_weighted(s.streets()), "street", "length")
+
+
 @query("closeness", "node closeness:9", f"""WITH RECURSIVE {_BFS}
 --final
 SELECT s AS node, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d) * (count(*) - 1) / ((SELECT count(*) FROM ({_NODES})) - 1) ELSE 0 END AS closeness FROM bfs GROUP BY s""")
@@ -252,6 +266,17 @@ def communities(s: Shapes):
     return votes.groupBy(F.col("src").alias("node")).agg((F.max("n") <= own).alias("settled"))
 
 
+@query("community_labels", "node community")
+def community_labels(s: Shapes):
+    return GR.communities(_simple(s))
+
+
+@query("community_modularity", "communities modularity:8")
+def community_modularity(s: Shapes):
+    e = cut_lineage(_simple(s))
+    return GR.modularity(e, GR.communities(e))
+
+
 @query("modularity", "communities modularity:8", f"""WITH l AS (SELECT node, node % 10 AS c FROM ({_NODES})), d AS (SELECT c, sum(degree) AS d FROM ({_DEG}) JOIN l USING (node) GROUP BY c), i AS (SELECT a.c, count(*) AS l FROM v_simple JOIN l a ON a.node = src JOIN l b ON b.node = dst WHERE a.c = b.c GROUP BY a.c), m AS (SELECT count(*) AS m FROM v_simple)
 --final
 SELECT count(*) AS communities, sum(coalesce(l, 0) / m - (d / (2 * m)) ** 2) AS modularity FROM d LEFT JOIN i USING (c), m""")
