@@ -108,6 +108,18 @@ def test_rules_reject_outliers_only(documents):
     assert quality_rules.judge(documents([])).count() == 0
 
 
+def test_a_third_of_junk_copies_does_not_mask_itself(documents):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, "en", rng.randint(20, 300)), "en", "s") for i in range(400)]
+    junk = " ".join(w + "***" if k % 3 == 0 else w for k, w in enumerate(prose(rng, "en", 120).split()))
+    copies = [(1000 + i, junk, "en", "s") for i in range(205)]
+    near = [(2000 + i, junk + " " + prose(rng, "en", 1 + i % 9), "en", "t") for i in range(200)]
+    other = [(3000 + i, prose(rng, "en", rng.randint(20, 300)), "en", "t") for i in range(400)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(documents(rows + copies + near + other)).collect()}
+    assert not any(got[r[0]]["kept"] or got[r[0]]["base_failed"] for r in copies + near)
+    assert sum(got[r[0]]["kept"] for r in rows + other) >= 0.99 * 800
+
+
 def test_estimate_matches_plain_moments_on_clean_data(llm):
     rng = random.Random(9)
     rows = [("k", *[rng.gauss(0, 3) for _ in quality_rules.STATS]) for _ in range(3000)]

@@ -1,9 +1,9 @@
 """Quality rules: robust multivariate outliers of text statistics, per language and source.
 
 Every text gives a vector of transformed statistics. Per group of language and source the minimum covariance
-determinant (MCD) is approached by concentration steps: start from medians and spreads, keep the ``share`` of rows with
-the smallest Mahalanobis distance, estimate mean and covariance from those, and repeat until the determinant settles;
-then one reweighting step. A row whose distance from its group's estimate lies beyond the chi-squared ``cutoff`` is
+determinant (MCD) is approached by concentration steps: start from medians and spreads of several halves, keep the
+``share`` of distinct vectors with the smallest Mahalanobis distance, estimate mean and covariance from those, and repeat
+until the determinant settles; the lowest one is taken, then one reweighting step. A row whose distance from its group's estimate lies beyond the chi-squared ``cutoff`` is
 rejected.
 
 DataFrame functions only. Texts are read once; the vectors (eight numbers a row) are written to the shared folder and
@@ -13,7 +13,8 @@ steps are mergeable sketches.
 Defined results: a null text has no words and fails the base rules; a null language or source is a value of its own;
 a group with under ``least`` rows shares the estimate of the other small groups of its language, and those under it one
 for all; variances have fixed floors, so constant statistics are no outliers; ties of the distance stay together;
-repeated rows count each; an empty table gives no rows; other columns are ignored.
+repeated rows are judged each,
+but equal vectors weigh once in an estimate; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -148,22 +149,42 @@ def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return out.select(*rows.columns, squares.alias("distance"))
 
 
-def mcd(rows: DataFrame, share: float = 0.75, steps: int = 12, tolerance: float = 1e-3, accuracy: int = 5000) -> DataFrame:
+#: halves of a group that a search starts from: the middle one, the lower one, the shortest one of each statistic
+STARTS = ("middle", "lower", "shortest")
+
+
+def _start(quantiles: Column, start: str) -> Column:
+    """``(centre, spread)`` of one half of a statistic, from its 21 quantiles 0, 0.05, ... 1."""
+    width = [quantiles[i + 10] - quantiles[i] for i in range(11)]
+    half = lambda i: F.struct(quantiles[i + 5].alias("centre"), (width[i] / 1.349).alias("spread"))
+    if start == "shortest":
+        return F.array_min(F.array(*[F.struct(width[i].alias("width"), half(i).alias("half")) for i in range(11)]))["half"]
+    return half({"middle": 5, "lower": 0}[start])
+
+
+def mcd(rows: DataFrame, share: float = 0.5, steps: int = 12, tolerance: float = 1e-3, accuracy: int = 5000) -> DataFrame:
     """Estimates per ``key`` of ``rows`` (columns ``key`` and the statistics): one row per key.
 
-    Stops when no group's log determinant moves by more than ``tolerance``, or after ``steps`` steps.
+    Equal vectors count once, so copies have no weight of their own. Every start is a search by itself; the lowest
+    determinant wins. Stops when no log determinant moves by more than ``tolerance``, or after ``steps`` steps.
     """
     p = len(STATS)
-    middle = rows.groupBy("key").agg(*[F.percentile_approx(a, [0.25, 0.5, 0.75], accuracy).alias(a) for a in STATS])
-    start = middle.select(
-        "key", *[F.col(a)[1].alias(f"m_{a}") for a in STATS],
-        *[(F.pow((F.col(a)[2] - F.col(a)[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}")
+    rows = round_table(rows.select("key", *STATS).distinct())
+    grid = [i / 20 for i in range(21)]
+    middle = rows.groupBy("key").agg(*[F.percentile_approx(a, grid, accuracy).alias(a) for a in STATS])
+    tried = F.explode(F.array(*[F.struct(
+        F.concat(F.lit(f"{k}|"), "key").alias("key"), *[_start(F.col(a), start).alias(a) for a in STATS]
+    ) for k, start in enumerate(STARTS)])).alias("_start")
+    start = middle.select(tried).select("_start.*").select(
+        "key", *[F.col(a)["centre"].alias(f"m_{a}") for a in STATS],
+        *[(F.pow(F.col(a)["spread"], 2) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}")
           for i, a in enumerate(STATS) for j in range(i + 1)],
     )
     estimate = round_table(_factored(start, 1.0))
+    every = rows.withColumn("key", F.explode(F.array(*[F.concat(F.lit(f"{k}|"), "key") for k in range(len(STARTS))])))
     kept_scale = share / chi2_cdf(chi2_quantile(share, p), p + 2)
     for _ in range(steps):
-        far = _distances(rows, estimate)
+        far = _distances(every, estimate)
         cut = far.groupBy("key").agg(F.percentile_approx("distance", share, accuracy).alias("cut"))
         inner = far.join(cut, "key").where("distance <= cut")
         nxt = round_table(_factored(_moments(inner), kept_scale))
@@ -172,6 +193,9 @@ def mcd(rows: DataFrame, share: float = 0.75, steps: int = 12, tolerance: float
         estimate = nxt
         if moved is None or moved <= tolerance:
             break
+    found = F.struct(*[c for c in estimate.columns if c != "key"])
+    best = estimate.groupBy(F.substring("key", 3, 1 << 30).alias("key")).agg(F.min_by(found, F.struct("logdet", "key")).alias("e"))
+    estimate = round_table(best.select("key", "e.*"))
     weight = 0.975
     near = _distances(rows, estimate).where(F.col("distance") <= chi2_quantile(weight, p))
     final = _factored(_moments(near), weight / chi2_cdf(chi2_quantile(weight, p), p + 2))
@@ -180,7 +204,7 @@ def mcd(rows: DataFrame, share: float = 0.75, steps: int = 12, tolerance: float
 
 def judge(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    cutoff: float = 0.99999, least: int = 50, share: float = 0.75,
+    cutoff: float = 0.999, least: int = 50, share: float = 0.5,
 ) -> DataFrame:
     """``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept)`` per row."""
     base = docs.select(
