@@ -24,6 +24,19 @@ def test_boilerplate_goes(layout):
         ["Title here", f"{PROSE} One & two.", f"{PROSE} Bold linked end. Next", PROSE])
 
 
+@pytest.mark.parametrize("layout", [
+    "<html><body>{}<div class='content'>{}</div></body></html>", "{}<div class='content'>{}</div>",
+    "<html><body>{}{}</body></html>", "{}{}", "<body><div><div id=a>{}</div><div id=b>{}</div></div></body>",
+])
+@pytest.mark.parametrize("times", [1, 4, 9])
+def test_short_blocks_stay_with_the_text(layout, times):
+    parts = [("h1", "A heading of thirty characters"), ("h2", "Another heading"), ("p", " ".join([PROSE] * times)),
+             ("h3", "Third level"), ("li", "A list item of about forty characters."), ("p", "Short."), ("h2", "Last heading"), ("p", " ".join([PROSE] * times))]
+    body = "".join(f"<ul><{t}>{x}</{t}></ul>" if t == "li" else f"<{t}>{x}</{t}>" for t, x in parts)
+    menu = "<div class='top'><ul><li><a href=/a>One entry</a><li><a href=/b>Two entries</a></ul></div>"
+    assert main_text(layout.format(menu, body)) == "\n".join(x for _, x in parts)
+
+
 def test_link_lists_go_and_short_articles_stay():
     links = "".join(f"<li><a href=/{k}>Some long menu entry number {k}</a></li>" for k in range(9))
     assert main_text(f"<div><ul>{links}</ul><p>{PROSE}</p></div>") == PROSE

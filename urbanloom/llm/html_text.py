@@ -4,7 +4,8 @@ A page is read once into blocks: the text between block-level tags, with the roo
 holds it. Text length, link text and punctuation are added up per path. A path's ratio is its plain text per block,
 raised by its punctuation per block (prose has both, menus have neither). Ratios are smoothed over the path tree:
 paths that meet low in the tree share evidence, so a heading stands with the paragraphs beside it. The smoothed ratio
-is fused with fixed cues of element names, and paths under a share of the page's best one are left out.
+is fused with fixed cues of element names, and paths under a share of the page's best one are left out. Headings, lists
+and short paragraphs in the element that holds a chosen path stay with it, unless they are mostly links.
 
 Pages are independent, so this is one pass without a shuffle; a row's work is linear in its length.
 
@@ -42,6 +43,9 @@ BOILERPLATE_WORDS = frozenset(
     "notice pager pagination popup promo related replies reply respond share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar widget".split()
 )
+FLOW_TAGS = frozenset(  # parts of running text: what a content element holds beside its paragraphs
+    "address blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre summary table tbody td tfoot th thead tr ul".split()
+)
 CLOSED_BY = {  # open elements that a start tag ends
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"},
@@ -163,6 +167,22 @@ def read_blocks(page: str) -> list[Block]:
     return reader.blocks
 
 
+def _tag(name: str) -> str:
+    return name.partition(".")[0]
+
+
+def _top(path: tuple[str, ...]) -> int:
+    """Elements of ``path`` down to the body; both html and body may be left out."""
+    return sum(_tag(x) in ("html", "body") for x in path[:2])
+
+
+def _holder(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The element that holds the running text ``path`` is a part of."""
+    while path and _tag(path[-1]) in FLOW_TAGS:
+        path = path[:-1]
+    return path
+
+
 def path_scores(blocks: Sequence[Block]) -> dict[tuple[str, ...], float]:
     """Smoothed ratio of every path that no cue bans."""
     sums: dict[tuple[str, ...], list[float]] = {}
@@ -177,7 +197,7 @@ def path_scores(blocks: Sequence[Block]) -> dict[tuple[str, ...], float]:
     near: dict[tuple[str, ...], list[float]] = {}
     for p, r in ratio.items():
         for depth in (1, 2):
-            if len(p) - depth >= 3:  # below html and body
+            if len(p) - depth > _top(p):  # below the body
                 e = near.setdefault(p[:-depth], [0.0, 0.0])
                 e[0] += r * 4.0**-depth
                 e[1] += 4.0**-depth
@@ -185,7 +205,7 @@ def path_scores(blocks: Sequence[Block]) -> dict[tuple[str, ...], float]:
     for p, r in ratio.items():
         shared, weight = r, 1.0
         for depth in (1, 2):
-            if len(p) - depth >= 3:
+            if len(p) - depth > _top(p):
                 e = near[p[:-depth]]
                 own = 4.0**-depth
                 shared += (e[0] - r * own) * 4.0 ** (1 - depth)
@@ -205,11 +225,14 @@ def main_text(page: str | None, threshold: float = 0.2) -> str:
         return ""
     articles = {b.path for b in blocks if b.within and not b.banned}
 
+    holders = {_holder(p) for p, x in scores.items() if x >= threshold * best}
+
     def chosen(b: Block) -> bool:
         if b.banned:
             return False
-        # an article's own blocks need no high ratio, only text that is not mostly links
-        return scores[b.path] >= threshold * best or (b.path in articles and 2 * b.linked <= len(b.text))
+        # blocks of an article, or beside a chosen path in its holder, need no high ratio, only text that is not mostly links
+        beside = b.path in articles or _holder(b.path) in holders
+        return scores[b.path] >= threshold * best or (beside and 2 * b.linked <= len(b.text))
 
     found = [b for b in blocks if chosen(b)]
     inside = [b for b in found if b.within]
