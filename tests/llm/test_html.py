@@ -37,6 +37,24 @@ def test_short_blocks_stay_with_the_text(layout, times):
     assert main_text(layout.format(menu, body)) == "\n".join(x for _, x in parts)
 
 
+@pytest.mark.parametrize("wrap", [
+    "<div class='layout with-sidebar'>{}</div>", "<div class='no-comments'><div class='elementor-widget'>{}</div></div>", "<form>{}</form>",
+])
+def test_labels_of_a_wrapper_do_not_empty_the_page(wrap):
+    inner = f"<div class='text'><h1>Title here</h1><p>{PROSE}</p><p>{PROSE}</p></div><div class='sidebar'><p>{PROSE}</p></div>"
+    page = wrap.format(inner + f"<div id='comments'><p>{PROSE} Yes.</p></div>")
+    assert main_text(f"<body><nav>Menu</nav>{page}</body>") == "\n".join(["Title here", PROSE, PROSE])
+
+
+def test_labels_within_the_article_and_teasers_beside_it():
+    page = f"<article><div class='entry-header'><h1>Title here</h1></div><p>{PROSE}</p><section id='legal-framework'><p>{PROSE}</p></section><div class='comments'><p>{PROSE}</p></div></article>"
+    assert main_text(page) == "\n".join(["Title here", PROSE, PROSE])
+    paragraphs = [f"{PROSE} {PROSE} {PROSE} {k}" for k in range(20)]
+    long = "".join(f"<p>{x}</p>" for x in paragraphs)
+    found = main_text(f"<div class='content'>{long}</div><article class='card'><p>{PROSE * 6}</p></article>")
+    assert set(paragraphs) <= set(found.split("\n"))
+
+
 def test_link_lists_go_and_short_articles_stay():
     links = "".join(f"<li><a href=/{k}>Some long menu entry number {k}</a></li>" for k in range(9))
     assert main_text(f"<div><ul>{links}</ul><p>{PROSE}</p></div>") == PROSE

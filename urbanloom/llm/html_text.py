@@ -6,6 +6,7 @@ raised by its punctuation per block (prose has both, menus have neither). Ratios
 paths that meet low in the tree share evidence, so a heading stands with the paragraphs beside it. The smoothed ratio
 is fused with fixed cues of element names, and paths under a share of the page's best one are left out. Headings, lists
 and short paragraphs in the element that holds a chosen path stay with it, unless they are mostly links.
+Class, id and role words that call an element boilerplate ban it only if the page's text is elsewhere.
 
 Pages are independent, so this is one pass without a shuffle; a row's work is linear in its length.
 
@@ -34,7 +35,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW_TAGS = frozenset("script style title textarea noscript template iframe svg math object select button head".split())
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article entry post story".split())
 BOILERPLATE_WORDS = frozenset(
@@ -43,6 +44,9 @@ BOILERPLATE_WORDS = frozenset(
     "notice pager pagination popup promo related replies reply respond share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar widget".split()
 )
+TOPIC_WORDS = frozenset(  # boilerplate words that also name a section of an article
+    "banner consent copyright disclaimer foot form legal login notice widget".split()
+)
 FLOW_TAGS = frozenset(  # parts of running text: what a content element holds beside its paragraphs
     "address blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre summary table tbody td tfoot th thead tr ul".split()
 )
@@ -65,6 +69,7 @@ class Block:
     path: tuple[str, ...]
     banned: bool
     within: bool  # inside an element named as the article
+    marks: tuple[int, ...]  # elements around it that are called boilerplate, outermost first
     text: str
     linked: int
 
@@ -75,6 +80,7 @@ class _Open:
     name: str
     banned: bool
     within: bool
+    marks: tuple[int, ...] = ()
 
 
 @dataclass
@@ -86,6 +92,7 @@ class _Reader:
     parts: list[str] = field(default_factory=list)
     links: int = 0
     linked: int = 0
+    topics: list[bool] = field(default_factory=list)  # per mark: by topic words only, inside the article
 
     def text(self, raw: str) -> None:
         if raw:
@@ -98,7 +105,7 @@ class _Reader:
         words = "".join(self.parts).split()
         if words:
             top = self.stack[-1] if self.stack else _Open("", "", False, False)
-            self.blocks.append(Block(tuple(o.name for o in self.stack), top.banned, top.within, " ".join(words), self.linked))
+            self.blocks.append(Block(tuple(o.name for o in self.stack), top.banned, top.within, top.marks, " ".join(words), self.linked))
         self.parts, self.linked = [], 0
 
     def pop(self, tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
@@ -127,10 +134,16 @@ class _Reader:
         above = self.stack[-1] if self.stack else _Open("", "", False, False)
         labels = [w for m in LABEL.finditer(attributes) for w in re.findall(r"[a-z]+", (m[1] or m[2] or m[3] or "").lower())]
         banned = above.banned or tag in BOILERPLATE_TAGS or (tag == "header" and not above.within)
-        banned = banned or (tag not in ("html", "body") and tag not in CONTENT_TAGS and not BOILERPLATE_WORDS.isdisjoint(labels))
-        within = above.within or tag in CONTENT_TAGS
-        within = within or (tag not in ("html", "body") and not CONTENT_WORDS.isdisjoint(labels))
-        self.stack.append(_Open(tag, ".".join([tag, *labels[:3]]), banned, within))
+        plain = tag not in ("html", "body")
+        within = above.within or tag in CONTENT_TAGS or (plain and not CONTENT_WORDS.isdisjoint(labels))
+        words = BOILERPLATE_WORDS.intersection(labels) if plain and tag not in CONTENT_TAGS else set()
+        if within:  # an article has a header of its own
+            words = words - {"header"}
+        marks = above.marks
+        if words or tag == "form":
+            marks = (*marks, len(self.topics))
+            self.topics.append(above.within and words <= TOPIC_WORDS)
+        self.stack.append(_Open(tag, ".".join([tag, *labels[:3]]), banned, within, marks))
 
     def end(self, tag: str) -> None:
         if tag == "a":
@@ -164,9 +177,63 @@ def read_blocks(page: str) -> list[Block]:
         else:
             reader.start(tag, m[3] or m[6] or "")
     reader.flush()
+    held = _kept_marks(reader)
+    for b in reader.blocks:
+        b.banned = b.banned or not held.issuperset(b.marks)
     return reader.blocks
 
 
+def _ratios(blocks: Sequence[Block]) -> dict[tuple[str, ...], float]:
+    """Plain text per block of every path, raised by its punctuation."""
+    sums: dict[tuple[str, ...], list[float]] = {}
+    for b in blocks:
+        s = sums.setdefault(b.path, [0.0, 0.0, 0.0])
+        s[0] += max(0, len(b.text) - b.linked)
+        s[1] += len(PUNCTUATION.findall(b.text))
+        s[2] += 1
+    return {p: t / n * math.log(math.e + u / n) for p, (t, u, n) in sums.items()}
+
+
+def _kept_marks(reader: _Reader) -> set[int]:
+    """Elements called boilerplate that hold the page's text all the same.
+
+    Such an element is kept if half of the page's plain text is in it and nothing outside comes near its ratio; one
+    that only a topic word marks inside the article, if its ratio is near the article's and its text no small share.
+    """
+    if not reader.topics:
+        return set()
+    blocks = [b for b in reader.blocks if not b.banned]
+    ratio = _ratios(blocks)
+    best, plain, size = ([0.0] * len(reader.topics) for _ in range(3))
+    chain: dict[int, tuple[int, ...]] = {}
+    alone: dict[tuple[int, ...], tuple[float, bool]] = {}  # blocks by all their marks: best ratio, article among them
+    total = 0.0
+    for b in blocks:
+        text = max(0, len(b.text) - b.linked)
+        total += text
+        top, named = alone.get(b.marks, (0.0, False))
+        alone[b.marks] = max(top, ratio[b.path]), named or b.within
+        for i, m in enumerate(b.marks):
+            chain[m] = b.marks[: i + 1]
+            best[m] = max(best[m], ratio[b.path])
+            plain[m] += text
+            size[m] += len(b.text)
+    kept: set[int] = set()
+    outside, named = alone.get((), (0.0, False))
+    for m in sorted(chain):
+        if not kept.issuperset(chain[m][:-1]) or 2 * plain[m] < size[m]:
+            continue
+        if reader.topics[m]:
+            keep = 2 * best[m] >= outside and 10 * plain[m] >= total
+        else:
+            keep = not named and 2 * outside < best[m] and 2 * plain[m] >= total
+        if keep:
+            kept.add(m)
+            top, article = alone.get(chain[m], (0.0, False))
+            outside, named = max(outside, top), named or article
+    return kept
+
+
 def _tag(name: str) -> str:
     return name.partition(".")[0]
 
@@ -185,14 +252,7 @@ def _holder(path: tuple[str, ...]) -> tuple[str, ...]:
 
 def path_scores(blocks: Sequence[Block]) -> dict[tuple[str, ...], float]:
     """Smoothed ratio of every path that no cue bans."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for b in blocks:
-        if not b.banned:
-            s = sums.setdefault(b.path, [0.0, 0.0, 0.0])
-            s[0] += max(0, len(b.text) - b.linked)
-            s[1] += len(PUNCTUATION.findall(b.text))
-            s[2] += 1
-    ratio = {p: t / n * math.log(math.e + u / n) for p, (t, u, n) in sums.items()}
+    ratio = _ratios([b for b in blocks if not b.banned])
     # evidence of the paths below each inner element, by how far below they are
     near: dict[tuple[str, ...], list[float]] = {}
     for p, r in ratio.items():
@@ -236,8 +296,9 @@ def main_text(page: str | None, threshold: float = 0.2) -> str:
 
     found = [b for b in blocks if chosen(b)]
     inside = [b for b in found if b.within]
-    # a page that names its article has its text there, unless that is only a teaser
-    if inside and 10 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in found):
+    # a page that names its article has its text there, unless more prose stands elsewhere: then those are teasers
+    prose = sum(len(b.text) for b in found if not b.within and PUNCTUATION.search(b.text))
+    if inside and sum(len(b.text) for b in inside) >= prose:
         found = inside
     return "\n".join(b.text for b in found)
 
