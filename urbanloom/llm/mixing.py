@@ -88,11 +88,14 @@ def mix(
     limit: float = 3.0,
     seed: int = 17,
     row: str | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """``(id, size, source_size, target, taken)`` per row: words the mix takes of it, repeats counted.
 
     ``block``: tokens of a block; a source misses its target by about half a block per shard. ``row``: name of a
-    struct column with all columns of ``docs``, if wanted.
+    struct column with all columns of ``docs``, if wanted. ``carry``: what a source missed in one shard is added to its
+    votes in the next, so it misses its target by about a block over all shards. Shards are then apportioned in turn, in
+    one task that reads the totals only.
     """
     n = docs.select(F.count(F.lit(1)).alias("n")).first()["n"]
     shards = max(1, -(-n // shard_docs))
@@ -113,14 +116,24 @@ def mix(
         "_votes", F.when(F.col("source_size") > 0, F.col("target") * F.col("_cell") / F.col("source_size")).otherwise(0.0)
     ).select("_shard", "_src", "_cell", "source_size", "target", "_votes")
 
+    columns = ["_shard", "_src", "_cell", "source_size", "target", "_quota"]
+
     def apportion(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("_src", na_position="last", kind="stable").reset_index(drop=True)
-        votes = table["_votes"].to_numpy(float)
-        got = sainte_lague(votes, int(round(votes.sum() / block)))
-        return table.assign(_quota=np.minimum(got * block, np.floor(limit * table["_cell"].to_numpy(float)))
-                            .astype("int64"))[["_shard", "_src", "_cell", "source_size", "target", "_quota"]]
-
-    quotas = voted.groupBy("_shard").applyInPandas(
+        source = pd.factorize(table["_src"], use_na_sentinel=False)[0]
+        owed = np.zeros(source.max() + 1)
+        quota = np.zeros(len(table), dtype=np.int64)
+        for _, at in sorted(table.groupby("_shard").indices.items()):
+            own = source[at]
+            due = owed[own] + table["_votes"].to_numpy(float)[at]
+            got = sainte_lague(np.maximum(due, 0), int(round(max(0.0, due.sum()) / block)))
+            top = np.floor(limit * table["_cell"].to_numpy(float)[at])
+            quota[at] = np.minimum(got * block, top).astype("int64")
+            owed[own] = due - quota[at]
+        return table.assign(_quota=quota)[columns]
+
+    groups = voted.withColumn("_all", F.lit(True)).groupBy("_all") if carry else voted.groupBy("_shard")
+    quotas = groups.applyInPandas(
         apportion, "_shard long, _src string, _cell long, source_size long, target double, _quota long"
     ).select(F.col("_shard").alias("_qs"), F.col("_src").alias("_qsrc"), "_cell", "source_size", "target", "_quota")
     before = Window.partitionBy("_shard", "_src").orderBy("_key", "_id", "_size").rowsBetween(
