@@ -23,6 +23,16 @@ def test_encoder_equals_the_library(parts):
     assert ENCODER.encode([text, text])[1].tolist() == ENCODER.plain(text)
 
 
+def test_added_tokens_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(PATH)
+    for text in ("a <|endoftext|> b", "x<|endoftext|>", "a  <|endoftext|>\n", "a b"):
+        assert ENCODER.encode([text])[0].tolist() == own.encode(text, add_special_tokens=False).ids
+    assert ENCODER.encode(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
+    assert ENCODER.fast != ENCODER.plain
+
+
 def test_encoder_forgets():
     enc = packing.TextEncoder(PATH, limit=3)
     for t in ("a b c d e f", "g h i j", "a b g h"):

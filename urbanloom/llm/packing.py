@@ -47,8 +47,8 @@ class TextEncoder:
     """Ids of whole texts by a byte-level BPE file, remembering the ids of pieces already seen.
 
     Byte-level pre-tokens take a leading space along, so a text may be cut before any space that has no white space
-    behind it: the pieces encode to the ids of the whole. Texts with a space before other white space are encoded
-    whole. Pieces met for the first time are encoded together, as one text, by the faster of the two libraries that
+    behind it: the pieces encode to the ids of the whole. Texts with a space before other white space, or with the string
+    of an added token, are encoded whole. Pieces met for the first time are encoded together, as one text, by the faster of the two libraries that
     read the vocabulary; it is only used after giving the same ids as the other on a probe. ``limit`` bounds the
     remembered pieces.
     """
@@ -59,10 +59,12 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in tok.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added) or r"(?!)")  # their strings are one id each, which the other library lacks
         self.plain = lambda text: tok.encode(text, add_special_tokens=False).ids
         self.fast, self.bytes_of = _fast_encoder(tok)
-        if self.fast(self.PROBE) != self.plain(self.PROBE):
+        probe = self.added.sub("", self.PROBE)
+        if self.fast(probe) != self.plain(probe):
             self.fast = self.plain
         self.limit = limit
         self.forget()
@@ -93,7 +95,7 @@ class TextEncoder:
         parts: list[tuple[np.ndarray, np.ndarray]] = []  # ids of the text up to its first space, pieces after it
         none = np.zeros(0, np.int64)
         for text in texts:
-            if _ODD_SPACE.search(text):
+            if _ODD_SPACE.search(text) or self.added.search(text):
                 parts.append((np.asarray(self.plain(text), dtype=np.int32), none))
                 continue
             head, *tail = text.split(" ")
