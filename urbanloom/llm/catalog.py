@@ -85,8 +85,24 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and root, and whether its tampered form still gives the root."""
+    from . import merkle
+    from .exact_dedup import fold_ascii
+
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    changed = merkle.leaf_hash([fold_ascii(F.col("text")) if c == "text" else F.col(c) for c in fields])
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = merkle.manifest(_documents(spark, sf_dir), fields, carry={"tampered": F.when(hit, changed)})
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_html_text, op3_quality_rules, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_language_id, op8_minhash, op9_quality_classifier, op10_suffix_array_dedup)
+    f.__name__: f for f in (op1_packing, op2_html_text, op3_quality_rules, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_language_id, op8_minhash, op9_quality_classifier, op10_suffix_array_dedup, op11_merkle)
 }
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -98,7 +114,59 @@ def _hex7(text: str) -> str:
     return "(" + " + ".join(f"(strpos('0123456789abcdef', substr({text}, {i}, 1)) - 1) * {16 ** (7 - i)}" for i in range(1, 8)) + ")"
 
 
+def _field(c: str) -> str:
+    """A field as byte count, colon and value, or a dash."""
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of a number's digits, bit by bit
+_CRC = """xor(4294967295, list_reduce(
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+    lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, xor(c, b)),
+    4294967295::BIGINT))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle": f"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, doc_id, lang, {_CRC} % 3 = 0 AS hit,
+                sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+                sha256({" || ".join(_field(_LOWER if c == "text" else c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS changed
+            FROM documents
+        ), n(lvl, lang, p, h, r) AS (
+            SELECT 0, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1, leaf, r FROM d
+            UNION ALL
+            SELECT any_value(lvl) + 1, lang, p // 8, sha256(string_agg(h, '' ORDER BY p)), NULL
+            FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS c FROM n) WHERE c > 1 GROUP BY lang, p // 8
+        ), s AS (SELECT lang, max(lvl) AS deep, arg_max(h, lvl) AS subroot FROM n GROUP BY lang),
+        t(lvl, lang, p, h) AS (
+            SELECT 0, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1, subroot FROM s
+            UNION ALL
+            SELECT any_value(lvl) + 1, NULL, p // 8, sha256(string_agg(h, '' ORDER BY p))
+            FROM (SELECT *, count(*) OVER () AS c FROM t) WHERE c > 1 GROUP BY p // 8
+        ), top AS (SELECT max(lvl) AS deep, arg_max(h, lvl) AS root FROM t),
+        way AS (
+            SELECT a.r, l.i AS lvl, a.lang, a.p // CAST(pow(8, l.i) AS BIGINT) AS p
+            FROM n a JOIN s ON a.lang IS NOT DISTINCT FROM s.lang, LATERAL (SELECT unnest(range(s.deep)) AS i) l WHERE a.lvl = 0
+        ), low AS (
+            SELECT w.r, w.lvl, coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p < w.p), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p > w.p), '') AS g
+            FROM way w JOIN n b ON b.lvl = w.lvl AND b.lang IS NOT DISTINCT FROM w.lang AND b.p // 8 = w.p // 8 GROUP BY w.r, w.lvl, w.p
+        ), head AS (
+            SELECT s.lang, s.deep, l.i AS lvl, a.p // CAST(pow(8, l.i) AS BIGINT) AS p
+            FROM s JOIN t a ON a.lvl = 0 AND a.lang IS NOT DISTINCT FROM s.lang, top, LATERAL (SELECT unnest(range(top.deep)) AS i) l
+        ), high AS (
+            SELECT w.lang, w.deep + w.lvl AS lvl, coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p < w.p), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p > w.p), '') AS g
+            FROM head w JOIN t b ON b.lvl = w.lvl AND b.p // 8 = w.p // 8 GROUP BY w.lang, w.deep, w.lvl, w.p
+        ), step AS (
+            SELECT r, lvl, l, g FROM low UNION ALL SELECT d.r, lvl, l, g FROM d JOIN high ON d.lang IS NOT DISTINCT FROM high.lang
+        ), proof AS (SELECT r, string_agg(l || g, '' ORDER BY lvl) AS x FROM step GROUP BY r),
+        fold(r, lvl, h) AS (
+            SELECT r, 0, CASE WHEN hit THEN changed ELSE leaf END FROM d
+            UNION ALL SELECT fold.r, fold.lvl + 1, sha256(l || h || g) FROM fold JOIN step ON step.r = fold.r AND step.lvl = fold.lvl
+        ), done AS (SELECT r, arg_max(h, lvl) AS folded_root FROM fold GROUP BY r)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(x, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM d JOIN s ON d.lang IS NOT DISTINCT FROM s.lang JOIN done USING (r) LEFT JOIN proof USING (r), top
+    """,
     "op4_exact_dedup": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
