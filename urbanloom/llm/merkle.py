@@ -142,7 +142,7 @@ def manifest(
     leaves = placed.join(sizes, "tree").select(
         "tree", F.floor((F.col("place") - 1) / size).alias("block"), (F.col("place") - 1).alias("place"), "width", "id",
         "leaf", *[f"c{i}" for i in range(len(carry))],
-    )
+    ).repartition("tree", "block")  # else a partitioning by tree alone would do, with a whole group in one task
 
     def build(table: pa.Table) -> list[list[str]]:
         up = min(height, levels(table["width"][0].as_py(), fanout))
