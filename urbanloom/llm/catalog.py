@@ -101,8 +101,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every pair of sources of a language, and the terms by which a source stands out."""
+    from .divergence import audit
+
+    return audit(_documents(spark, sf_dir).select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_html_text, op3_quality_rules, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_language_id, op8_minhash, op9_quality_classifier, op10_suffix_array_dedup, op11_merkle)
+    f.__name__: f for f in (op1_packing, op2_html_text, op3_quality_rules, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_language_id, op8_minhash, op9_quality_classifier, op10_suffix_array_dedup, op11_merkle, op13_divergence)
 }
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -167,6 +174,36 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, leaf, subroot, root, sha256(coalesce(x, '')) AS proof_sha256, folded_root, folded_root = root AS verified
         FROM d JOIN s ON d.lang IS NOT DISTINCT FROM s.lang JOIN done USING (r) LEFT JOIN proof USING (r), top
     """,
+    "op13_divergence": f"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                regexp_extract_all({_LOWER.replace("text", "coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents
+        ), t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+        g AS (SELECT lang, source, coalesce(any_value(m), 0) AS total FROM d LEFT JOIN (SELECT lang, source, sum(n) AS m FROM c GROUP BY ALL) USING (lang, source) GROUP BY ALL),
+        p AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 2)) // (total + 2 * v) AS p
+            FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), q AS (
+            SELECT lang, term, 1 + (1000000000 * (sum(n) + 2)) // (any_value(m) + 2 * any_value(v)) AS q
+            FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(total) AS m FROM g GROUP BY lang) USING (lang) GROUP BY lang, term
+        ), pair AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(any_value(f), 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+                SELECT x.lang, x.source AS s, y.source AS o, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS f
+                FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+            ) z ON z.lang = a.lang AND z.s = a.source AND z.o = b.source GROUP BY ALL
+        ), part AS (
+            SELECT lang, source, 'pair' AS part, item, value FROM pair
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM part)
+        WHERE part = 'pair' OR rank <= 10
+    """,
     "op4_exact_dedup": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
