@@ -101,6 +101,20 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a lexicon learned from the labels outside the held-out fifth."""
+    from . import toxicity
+
+    crc = F.crc32(F.col("doc_id").cast("string")) % 5
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    found = toxicity.score(docs, toxicity.learn(docs, labels.where(crc != 0)))
+    return found.select(
+        "doc_id", F.coalesce(crc == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of every pair of sources of a language, and the terms by which a source stands out."""
     from .divergence import audit
@@ -109,7 +123,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_html_text, op3_quality_rules, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_language_id, op8_minhash, op9_quality_classifier, op10_suffix_array_dedup, op11_merkle, op13_divergence)
+    f.__name__: f for f in (op1_packing, op2_html_text, op3_quality_rules, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_language_id, op8_minhash, op9_quality_classifier, op10_suffix_array_dedup, op11_merkle, op12_toxicity, op13_divergence)
 }
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
