@@ -73,7 +73,7 @@ def _sql(body: str, cols: list[str]) -> str:
 
 
 def _load() -> None:
-    from . import domain_queries, geometry_queries, network_queries, raster_queries, spatial_queries, table_queries  # noqa: F401
+    from . import domain_queries, geometry_queries, network_queries, overlay_queries, raster_queries, spatial_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

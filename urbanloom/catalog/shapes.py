@@ -55,6 +55,12 @@ VIEWS = {
     "v_sectors": """SELECT n_nationkey AS sector, CAST((n_nationkey % 5) * 2002 AS DOUBLE) AS x0, CAST((n_nationkey // 5) * 2002 AS DOUBLE) AS y0,
         CAST((n_nationkey % 5) * 2002 + 2002 AS DOUBLE) AS x1, CAST((n_nationkey // 5) * 2002 + 2002 AS DOUBLE) AS y1,
         CAST(2002 * 2002 AS DOUBLE) AS area, CAST(500 + n_nationkey * 137 AS DOUBLE) AS pop, n_regionkey AS region FROM nation""",
+    # concave shapes as rectangles that touch: zones without their upper right quarter, sectors with a hole
+    "v_ells": """SELECT zone, x0, y0, x1, (y0 + y1) / 2 AS y1 FROM v_zones
+        UNION ALL SELECT zone, x0, (y0 + y1) / 2, (x0 + x1) / 2, y1 FROM v_zones""",
+    "v_frames": """SELECT sector, x0, y0, x1, y0 + 600.5 AS y1 FROM v_sectors UNION ALL SELECT sector, x0, y0 + 1400.5, x1, y1 FROM v_sectors
+        UNION ALL SELECT sector, x0, y0 + 600.5, x0 + 500.5, y0 + 1400.5 FROM v_sectors
+        UNION ALL SELECT sector, x0 + 1500.5, y0 + 600.5, x1, y0 + 1400.5 FROM v_sectors""",
     "v_roads": f"""SELECT o_orderkey AS road, list_transform(range(2 + o_orderkey % 4), lambda i: struct_pack(
         x := {_px('o_orderkey')} + 20 * i + (o_custkey * (i + 1)) % 17, y := {_py('o_orderkey')} + (o_custkey * (i + 3)) % 50)) AS c,
         {_pick(HIGHWAYS, 'o_custkey % 8')} AS highway, o_custkey AS cust FROM orders""",
@@ -155,6 +161,17 @@ class Shapes:
         s = s.withColumns({"maxx": F.col("minx") + 2002, "maxy": F.col("miny") + 2002, "area": F.lit(2002.0 * 2002.0)})
         return s.withColumn("ring", G.rectangle("minx", "miny", "maxx", "maxy")).withColumn("rings", F.array("ring"))
 
+    def ells(self) -> DataFrame:
+        """Zones without their upper right quarter."""
+        mx, my = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
+        corners = [("minx", "miny"), ("maxx", "miny"), ("maxx", my), (mx, my), (mx, "maxy"), ("minx", "maxy"), ("minx", "miny")]
+        return self.zones().select("zone", F.array(F.array(*[G.point(x, y) for x, y in corners])).alias("rings"))
+
+    def frames(self) -> DataFrame:
+        """Sectors with a hole."""
+        hole = G.rectangle(F.col("minx") + 500.5, F.col("miny") + 600.5, F.col("minx") + 1500.5, F.col("miny") + 1400.5)
+        return self.sectors().select("sector", F.array("ring", F.reverse(hole)).alias("rings"))
+
     def roads(self) -> DataFrame:
         o, c = F.col("o_orderkey"), F.col("o_custkey")
         coords = F.transform(
