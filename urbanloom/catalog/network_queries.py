@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import centrality as CE
+from ..operators import community as CO
 from ..operators import features as FE
 from ..operators import graph as GR
 from ..operators import hydro as H
@@ -277,6 +278,12 @@ def community_modularity(s: Shapes):
     return GR.modularity(e, GR.communities(e))
 
 
+@query("louvain", "node community modularity:8")
+def louvain(s: Shapes):
+    labels, levels = CO.louvain(_simple(s))
+    return labels.withColumn("modularity", levels.agg(F.max("modularity")).scalar())
+
+
 @query("modularity", "communities modularity:8", f"""WITH l AS (SELECT node, node % 10 AS c FROM ({_NODES})), d AS (SELECT c, sum(degree) AS d FROM ({_DEG}) JOIN l USING (node) GROUP BY c), i AS (SELECT a.c, count(*) AS l FROM v_simple JOIN l a ON a.node = src JOIN l b ON b.node = dst WHERE a.c = b.c GROUP BY a.c), m AS (SELECT count(*) AS m FROM v_simple)
 --final
 SELECT count(*) AS communities, sum(coalesce(l, 0) / m - (d / (2 * m)) ** 2) AS modularity FROM d LEFT JOIN i USING (c), m""")
