@@ -7,6 +7,7 @@ import pytest
 
 from urbanloom.catalog.registry import queries
 from urbanloom.catalog.shapes import Shapes
+from urbanloom.operators import centrality as CE
 from urbanloom.operators import graph as GR
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -73,3 +74,46 @@ def test_labels_are_returned_and_settled(spark, streets):
     inside = sum(label[a] == label[b] for a, b in streets.values())
     assert got["communities"] == len(degree)
     assert got["modularity"] == pytest.approx(inside / m - sum((d / (2 * m)) ** 2 for d in degree.values()), abs=1e-8)
+
+
+def hops(streets):
+    """Sums of node dependencies by source, every edge counting 1."""
+    around = defaultdict(set)
+    for a, b in streets.values():
+        around[a].add(b)
+        around[b].add(a)
+    out = {}
+    for s in around:
+        dist, paths, order = {s: 0}, Counter({s: 1}), [s]
+        for u in order:
+            for v in around[u]:
+                if v not in dist:
+                    dist[v] = dist[u] + 1
+                    order.append(v)
+                if dist[v] == dist[u] + 1:
+                    paths[v] += paths[u]
+        back = Counter()
+        for v in reversed(order):
+            for u in around[v]:
+                if dist[u] == dist[v] - 1:
+                    back[u] += paths[u] / paths[v] * (1 + back[v])
+        back[s] = 0
+        out[s] = back
+    return out
+
+
+def test_betweenness_within_a_stated_error(spark, streets):
+    per = hops(streets)
+    n = len(per)
+    exact = {v: sum(per[s][v] for s in per) / ((n - 1) * (n - 2)) for v in per}
+    edges = spark.createDataFrame(list(streets.values()), "src long, dst long")
+    got = {r["node"]: r for r in CE.betweenness_within(edges, error=0.2, confidence=0.9).collect()}
+    assert got.keys() == exact.keys()
+    used = {r["sources"] for r in got.values()}
+    assert len(used) == 1 and 0 < used.pop() < n
+    assert all(0 < r["bound"] <= 0.2 and abs(r["betweenness"] - exact[v]) <= r["bound"] for v, r in got.items())
+    every = {r["node"]: r for r in CE.betweenness_within(edges, error=1e-6).collect()}
+    assert {v: r["betweenness"] for v, r in every.items()} == pytest.approx(exact, abs=1e-12)
+    assert {(r["bound"], r["sources"]) for r in every.values()} == {(0.0, n)}
+    pair = CE.betweenness_within(spark.createDataFrame([(1, 2), (3, 3)], "src long, dst long")).collect()
+    assert sorted((r["node"], r["betweenness"]) for r in pair) == [(1, 0.0), (2, 0.0)]

@@ -9,13 +9,14 @@ points first, so copies of one place cost one row.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.classify import named_bin, ladder
-from ..scale import cut_lineage, one_row
+from ..scale import cut_lineage, one_row, round_table
 
 BOX = ("minx", "miny", "maxx", "maxy")
 
@@ -283,19 +284,54 @@ def neighbour_isolation(noise: DataFrame, clustered: DataFrame, key: str, right_
     return n.withColumn("isolation_category", named_bin("distance", "isolation"))
 
 
-def within_radius_counts(left: DataFrame, right: DataFrame, key: str, r: float, weight: str | None = None) -> DataFrame:
-    """Right points (or their weight) within ``r`` of each left place; coincident points are merged first."""
-    lp = left.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_n"))
+def within_radius_counts(left: DataFrame, right: DataFrame, key: str, r: float, weight: str | None = None,
+                         direct: int = 4096) -> DataFrame:
+    """Right points (or their weight) within ``r`` of each left place; coincident points are merged first.
+
+    Cells of both sides are compared down a pyramid, each level half as wide: two cells that lie within ``r`` whole
+    count as one sum, two that lie apart are dropped, and only pairs on the disc's border go down a level, or to the
+    points once they hold at most ``direct`` pairs of places. So a dense cell costs its border, not its pairs.
+    """
+    lp = round_table(left.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_n")).select("x", "y"))
     w = F.sum(weight) if weight else F.count(F.lit(1))
-    rp = right.groupBy(F.col("x").alias("rx"), F.col("y").alias("ry")).agg(w.alias("_w"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    lc = lp.select("x", "y", around.alias("o")).select(
-        "x", "y", (cell("x", r) + F.col("o.i")).alias("cx"), (cell("y", r) + F.col("o.j")).alias("cy")
-    )
-    rc = rp.withColumns({"cx": cell("rx", r), "cy": cell("ry", r)})
-    dx, dy = F.col("rx") - F.col("x"), F.col("ry") - F.col("y")
-    hits = lc.join(rc, ["cx", "cy"]).where(dx * dx + dy * dy <= r * r)
-    counts = hits.groupBy("x", "y").agg(F.sum("_w").alias("_c"))
+    rp = round_table(right.groupBy(F.col("x").alias("rx"), F.col("y").alias("ry")).agg(w.alias("_w")))
+
+    def keyed(df: DataFrame, x: str, y: str, side: str, level: int) -> DataFrame:
+        return df.withColumns({f"{side}x": cell(x, r / 2**level), f"{side}y": cell(y, r / 2**level)})
+
+    def half(side: str) -> list[Column]:
+        return [F.floor(F.col(f"{side}{c}") / 2).alias(f"{side}{c}_") for c in "xy"]
+
+    open_pairs, sums, near, level = None, [], [], 0
+    while True:
+        lc = keyed(lp, "x", "y", "l", level).groupBy("lx", "ly").agg(F.count(F.lit(1)).alias("ln"))
+        rc = keyed(rp, "rx", "ry", "r_", level).groupBy("r_x", "r_y").agg(F.count(F.lit(1)).alias("rn"), F.sum("_w").alias("w"))
+        if level == 0:
+            around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+            met = lc.select("lx", "ly", "ln", around.alias("o")).select(
+                "lx", "ly", "ln", (F.col("lx") + F.col("o.i")).alias("r_x"), (F.col("ly") + F.col("o.j")).alias("r_y")).join(rc, ["r_x", "r_y"])
+        else:
+            below = open_pairs.select(*[F.col(c).alias(f"{c}_") for c in ("lx", "ly", "r_x", "r_y")])
+            met = below.join(lc.select("lx", "ly", "ln", *half("l")), ["lx_", "ly_"]).join(rc.select("r_x", "r_y", "rn", "w", *half("r_")), ["r_x_", "r_y_"])
+        dx, dy = F.abs(F.col("lx") - F.col("r_x")), F.abs(F.col("ly") - F.col("r_y"))
+        gx, gy = F.greatest(dx - 1, F.lit(0)), F.greatest(dy - 1, F.lit(0))
+        reach = F.lit(4**level).cast("double")
+        # cells are half open: a gap of the whole radius is already too far
+        state = F.when(gx * gx + gy * gy >= reach, "out").when((dx + 1) * (dx + 1) + (dy + 1) * (dy + 1) <= reach, "in").when(
+            F.col("ln") * F.col("rn") <= direct, "near").otherwise("open")
+        told = round_table(met.select("lx", "ly", "r_x", "r_y", "w", state.alias("state")).where("state <> 'out'"))
+        inside = told.where("state = 'in'").groupBy("lx", "ly").agg(F.sum("w").alias("_w"))
+        sums.append(keyed(lp, "x", "y", "l", level).join(inside, ["lx", "ly"]).select("x", "y", "_w"))
+        close = told.where("state = 'near'").select("lx", "ly", "r_x", "r_y")
+        ex, ey = F.col("rx") - F.col("x"), F.col("ry") - F.col("y")
+        pairs = keyed(lp, "x", "y", "l", level).join(close, ["lx", "ly"]).join(keyed(rp, "rx", "ry", "r_", level), ["r_x", "r_y"])
+        near.append(pairs.where(ex * ex + ey * ey <= r * r).select("x", "y", "_w"))
+        open_pairs = told.where("state = 'open'")
+        if open_pairs.isEmpty():
+            break
+        level += 1
+    found = reduce(DataFrame.unionByName, sums + near)
+    counts = found.groupBy("x", "y").agg(F.sum("_w").alias("_c"))
     return left.select(key, "x", "y").join(counts, ["x", "y"], "left").select(key, F.coalesce("_c", F.lit(0)).alias("count"))
 
 

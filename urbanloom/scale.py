@@ -107,9 +107,14 @@ def drop_table(df: DataFrame | None) -> None:
     """Remove the files of a ``round_table`` that nothing reads any more."""
     path = getattr(df, "_round_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder made under ``table_path``."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def one_row(df: DataFrame, **aggs: Column) -> Column:
