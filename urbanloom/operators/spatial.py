@@ -8,6 +8,7 @@ points first, so copies of one place cost one row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -19,6 +20,7 @@ from ..functions.classify import named_bin, ladder
 from ..scale import cut_lineage, one_row, round_table
 
 BOX = ("minx", "miny", "maxx", "maxy")
+DEEPEST = 52  # halvings of a cell that doubles can tell apart
 
 
 def cell(v, size: float) -> Column:
@@ -217,67 +219,112 @@ def nearest_sampled(points: DataFrame, lines: DataFrame, key: str, line_key: str
 
 
 def nearest_join(left: DataFrame, right: DataFrame, key: str, right_key: str, max_dist: float | None = None,
-                 start: float | None = None, self_join: bool = False) -> DataFrame:
+                 start: float | None = None, self_join: bool = False, block: int = 1024, direct: int = 256) -> DataFrame:
     """Nearest right point of every left point with its distance (ties: lowest right id).
 
-    Searches cells of a growing size until every left row is settled: a hit within the current
-    radius is final, the rest go on with twice the radius. ``max_dist`` stops the search (NULL then).
+    First one look at the nine cells of width ``start`` around each left point, where they hold at most ``block`` places;
+    a hit within that width is final. All other points, those amid very dense cells and those far from everything, go
+    down a quadtree (``_nearest_by_tree``). ``max_dist`` bounds the search (NULL beyond it).
     """
-    pts = right.groupBy("x", "y").agg(F.min(right_key).alias(right_key))
-    if self_join:  # the two lowest ids of a place suffice to skip the row itself
-        pts = right.groupBy("x", "y").agg(F.min(right_key).alias(right_key), F.max(right_key).alias("_hi"))
+    pts = right.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "y").agg(
+        F.min(right_key).alias(right_key), F.max(right_key).alias("_hi"), F.count(F.lit(1)).alias("_m"))
+    pts = round_table(pts)  # of a place, its two outermost ids suffice to skip the row itself
+    kind = right.schema[right_key].dataType
+    none = [F.lit(None).cast(kind).alias(right_key), F.lit(None).cast("double").alias("distance")]
     b = pts.agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
         F.count(F.lit(1)).alias("n"),
     ).first()
-    empty = left.select(key, F.lit(None).cast(right.schema[right_key].dataType).alias(right_key),
-                        F.lit(None).cast("double").alias("distance"))
-    if not b["n"]:
-        return empty
-    span = left.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    if span["x0"] is None:
-        return empty
-    w = max(b["x1"], span["x1"]) - min(b["x0"], span["x0"])
-    h = max(b["y1"], span["y1"]) - min(b["y0"], span["y0"])
-    limit = max_dist if max_dist is not None else (w * w + h * h) ** 0.5 * 1.000001 + 1e-9
-    r = start or max(((b["x1"] - b["x0"]) * (b["y1"] - b["y0"]) / b["n"]) ** 0.5 * 1.5, limit / 4096, 1e-9)
-    todo = left.select(key, "x", "y")
-    done = None
-    while True:
-        r = min(r, limit)
-        found = _nearest_within(todo, pts, key, right_key, r, self_join)
-        found = cut_lineage(found)
-        done = found if done is None else done.unionByName(found)
-        if r >= limit:
-            break
-        todo = cut_lineage(todo.join(found, key, "left_anti"))
-        if todo.isEmpty():
-            break
-        r *= 2
+    rows = left.select(key, "x", "y")
+    todo = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    span = todo.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if not b["n"] or span["x0"] is None:
+        return left.select(key, *none)
+    x0, y0 = min(b["x0"], span["x0"]), min(b["y0"], span["y0"])
+    wide = max(max(b["x1"], span["x1"]) - x0, max(b["y1"], span["y1"]) - y0, 1e-9)
+    limit = math.inf if max_dist is None else max_dist
+    r = min(limit, start or max(((b["x1"] - b["x0"]) * (b["y1"] - b["y0"]) / b["n"]) ** 0.5 * 1.5, wide / 4096))
+    first = cut_lineage(_nearest_within(todo, pts, key, right_key, r, self_join, block))
+    rest = round_table(todo.join(first, key, "left_anti"))
+    done = first
+    if not rest.isEmpty():
+        done = first.unionByName(_nearest_by_tree(rest, pts, key, right_key, x0, y0, wide * 1.000001, limit, self_join, direct))
     if max_dist is None:
         return done
-    rest = left.select(key).join(done, key, "left_anti").withColumns({
-        right_key: F.lit(None).cast(right.schema[right_key].dataType), "distance": F.lit(None).cast("double"),
-    })
-    return done.unionByName(rest)
+    return done.unionByName(rows.select(key).join(done, key, "left_anti").select(key, *none))
 
 
-def _nearest_within(left: DataFrame, pts: DataFrame, key: str, right_key: str, r: float, self_join: bool) -> DataFrame:
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    lc = left.select(F.col(key).alias("_k"), F.col("x").alias("_x"), F.col("y").alias("_y"), around.alias("o")).select(
-        "_k", "_x", "_y", (cell("_x", r) + F.col("o.i")).alias("cx"), (cell("_y", r) + F.col("o.j")).alias("cy")
-    )
-    rc = pts.withColumns({"cx": cell("x", r), "cy": cell("y", r)})
-    j = lc.join(rc, ["cx", "cy"])
+def _nearest_hit(pairs: DataFrame, key: str, right_key: str, limit: float, self_join: bool) -> DataFrame:
+    """Best of ``(_k, _x, _y)`` beside right places, within ``limit``."""
     d = G.hypot2(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
     rid = F.col(right_key)
     if self_join:
         rid = F.when(rid != F.col("_k"), rid).when(F.col("_hi") != F.col("_k"), F.col("_hi"))
-    j = j.select("_k", d.alias("d"), rid.alias("r")).where((F.col("d") <= r) & F.col("r").isNotNull())
+    j = pairs.select("_k", d.alias("d"), rid.alias("r")).where((F.col("d") <= limit) & F.col("r").isNotNull())
     m = j.groupBy("_k").agg(F.min(F.struct("d", "r")).alias("m"))
     return m.select(F.col("_k").alias(key), F.col("m.r").alias(right_key), F.col("m.d").alias("distance"))
 
 
+def _nearest_within(left: DataFrame, pts: DataFrame, key: str, right_key: str, r: float, self_join: bool, block: int) -> DataFrame:
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    lc = left.select(F.col(key).alias("_k"), F.col("x").alias("_x"), F.col("y").alias("_y"), cell("x", r).alias("lx"), cell("y", r).alias("ly"))
+    rc = pts.withColumns({"cx": cell("x", r), "cy": cell("y", r)})
+    cells = lc.select("lx", "ly").distinct().select("lx", "ly", around.alias("o")).select(
+        "lx", "ly", (F.col("lx") + F.col("o.i")).alias("cx"), (F.col("ly") + F.col("o.j")).alias("cy"))
+    held = cells.join(rc.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")), ["cx", "cy"])
+    light = held.groupBy("lx", "ly").agg(F.sum("n").alias("n")).where(F.col("n") <= block).select("lx", "ly")
+    near = held.select("lx", "ly", "cx", "cy").join(light, ["lx", "ly"])
+    return _nearest_hit(lc.join(near, ["lx", "ly"]).join(rc, ["cx", "cy"]), key, right_key, r, self_join)
+
+
+def _nearest_by_tree(left: DataFrame, pts: DataFrame, key: str, right_key: str, x0: float, y0: float, wide: float,
+                     limit: float, self_join: bool, direct: int) -> DataFrame:
+    """Nearest places by a quadtree over both sides, a level a round.
+
+    Places that agree to 2**-52 of the extent count as one cell. A cell of left points knows, from the right cells beside it, how far its nearest place can be at most; right cells
+    that begin beyond that are dropped. Pairs of cells with at most ``direct`` pairs of places are compared, the others
+    split into quarters. Each left cell keeps a few right cells per level, however the points crowd.
+    """
+    lp = left.select(F.col(key).alias("_k"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+
+    def keyed(df: DataFrame, x: str, y: str, side: str, level: int) -> DataFrame:
+        return df.withColumns({f"{side}x": F.floor((F.col(x) - x0) / (wide / 2**level)), f"{side}y": F.floor((F.col(y) - y0) / (wide / 2**level))})
+
+    def half(side: str) -> list[Column]:
+        return [F.floor(F.col(f"{side}{c}") / 2).alias(f"{side}{c}_") for c in "xy"]
+
+    level, met, found = 0, None, []
+    places = round_table(lp.select("_x", "_y").distinct())  # different places part at some level
+    while True:
+        lc = keyed(places, "_x", "_y", "l", level).groupBy("lx", "ly").agg(F.count(F.lit(1)).alias("ln"))
+        rc = keyed(pts, "x", "y", "r", level).groupBy("rx", "ry").agg(F.count(F.lit(1)).alias("rn"), F.sum("_m").alias("rm"))
+        if met is None:
+            pairs = lc.join(rc, (F.col("lx") == F.col("rx")) & (F.col("ly") == F.col("ry")))  # level 0: one cell
+        else:
+            below = met.where("not close").select(*[F.col(c).alias(f"{c}_") for c in ("lx", "ly", "rx", "ry")])
+            pairs = below.join(lc.select("lx", "ly", "ln", *half("l")), ["lx_", "ly_"]).join(rc.select("rx", "ry", "rn", "rm", *half("r")), ["rx_", "ry_"])
+        size = wide / 2**level
+        dx, dy = F.abs(F.col("lx") - F.col("rx")).cast("double"), F.abs(F.col("ly") - F.col("ry")).cast("double")
+        gx, gy = F.greatest(dx - 1, F.lit(0.0)), F.greatest(dy - 1, F.lit(0.0))
+        far = G.hypot2(dx + 1, dy + 1) * size * (1 + 1e-9)
+        if self_join:  # a cell that holds the point alone promises nothing
+            far = F.when((dx == 0) & (dy == 0) & (F.col("rm") < 2), F.lit(math.inf)).otherwise(far)
+        small = (F.col("ln") * F.col("rn") <= direct) | F.lit(level >= DEEPEST)
+        pairs = round_table(pairs.select("lx", "ly", "rx", "ry", small.alias("close"), far.alias("far"),
+                                         (G.hypot2(gx, gy) * size * (1 - 1e-9)).alias("gap")))
+        # cells that were settled a level above keep their own bound in their pairs, so bounds only need their level
+        reach = pairs.groupBy("lx", "ly").agg(F.least(F.min("far"), F.lit(limit)).alias("reach"))
+        met = round_table(pairs.join(reach, ["lx", "ly"]).where(F.col("gap") <= F.col("reach")).select("lx", "ly", "rx", "ry", "close"))
+        close = met.where("close").select("lx", "ly", "rx", "ry")
+        beside = keyed(lp, "_x", "_y", "l", level).join(close, ["lx", "ly"]).join(keyed(pts, "x", "y", "r", level), ["rx", "ry"])
+        found.append(_nearest_hit(beside, key, right_key, limit, self_join))
+        if met.where("not close").isEmpty():
+            break
+        level += 1
+    best = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.min(F.struct("distance", right_key)).alias("m"))
+    return best.select(key, F.col(f"m.{right_key}").alias(right_key), F.col("m.distance").alias("distance"))
+
+
 def neighbour_isolation(noise: DataFrame, clustered: DataFrame, key: str, right_key: str) -> DataFrame:
     """Distance of noise points to the nearest clustered point, in five classes."""
     n = nearest_join(noise, clustered, key, right_key)
@@ -302,6 +349,8 @@ def within_radius_counts(left: DataFrame, right: DataFrame, key: str, r: float,
     def half(side: str) -> list[Column]:
         return [F.floor(F.col(f"{side}{c}") / 2).alias(f"{side}{c}_") for c in "xy"]
 
+    sides = [df.agg(F.max(F.greatest(F.abs(x), F.abs(y)))).first()[0] or 0.0 for df, x, y in ((lp, "x", "y"), (rp, "rx", "ry"))]
+    deepest = DEEPEST - math.ceil(math.log2(max(sides) / r + 1))
     open_pairs, sums, near, level = None, [], [], 0
     while True:
         lc = keyed(lp, "x", "y", "l", level).groupBy("lx", "ly").agg(F.count(F.lit(1)).alias("ln"))
@@ -313,12 +362,12 @@ def within_radius_counts(left: DataFrame, right: DataFrame, key: str, r: float,
         else:
             below = open_pairs.select(*[F.col(c).alias(f"{c}_") for c in ("lx", "ly", "r_x", "r_y")])
             met = below.join(lc.select("lx", "ly", "ln", *half("l")), ["lx_", "ly_"]).join(rc.select("r_x", "r_y", "rn", "w", *half("r_")), ["r_x_", "r_y_"])
-        dx, dy = F.abs(F.col("lx") - F.col("r_x")), F.abs(F.col("ly") - F.col("r_y"))
-        gx, gy = F.greatest(dx - 1, F.lit(0)), F.greatest(dy - 1, F.lit(0))
-        reach = F.lit(4**level).cast("double")
+        dx, dy = F.abs(F.col("lx") - F.col("r_x")).cast("double"), F.abs(F.col("ly") - F.col("r_y")).cast("double")
+        gx, gy = F.greatest(dx - 1, F.lit(0.0)), F.greatest(dy - 1, F.lit(0.0))
+        reach = F.lit(float(4**level))
         # cells are half open: a gap of the whole radius is already too far
         state = F.when(gx * gx + gy * gy >= reach, "out").when((dx + 1) * (dx + 1) + (dy + 1) * (dy + 1) <= reach, "in").when(
-            F.col("ln") * F.col("rn") <= direct, "near").otherwise("open")
+            (F.col("ln") * F.col("rn") <= direct) | F.lit(level >= deepest), "near").otherwise("open")
         told = round_table(met.select("lx", "ly", "r_x", "r_y", "w", state.alias("state")).where("state <> 'out'"))
         inside = told.where("state = 'in'").groupBy("lx", "ly").agg(F.sum("w").alias("_w"))
         sums.append(keyed(lp, "x", "y", "l", level).join(inside, ["lx", "ly"]).select("x", "y", "_w"))
@@ -343,8 +392,6 @@ def density_within(points: DataFrame, key: str, r: float = 1000.0) -> DataFrame:
 
 def line_density_within(points: DataFrame, lines: DataFrame, key: str, line_key: str, coords: str, r: float = 500.0) -> DataFrame:
     """Line length inside the disc over the disc area, in km per km2 (exact segment clipping)."""
-    import math
-
     segs = explode_segments(lines, coords, [line_key])
     p = point_segment_pairs(points.select(key, "x", "y"), segs, r)
     inside = G.segment_in_disc_length("r_ax", "r_ay", "r_bx", "r_by", "l_x", "l_y", F.lit(float(r)))
