@@ -43,7 +43,7 @@ LOOKALIKE = {
     "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i",
 }
 # fixed values: characters without width
-HIDDEN = "­​‌‍⁠﻿"
+HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 # fixed values: digits and signs that stand for letters
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 SIGNS = {"$": "s", "@": "a"}
