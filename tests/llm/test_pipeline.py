@@ -78,6 +78,6 @@ def test_one_query_per_operator():
     import __spark_entry__
 
     names = list(catalog.QUERIES)
-    assert [int(n.split("_")[0][2:]) for n in names] == list(range(1, 11))
+    assert [int(n.split("_")[0][2:]) for n in names] == list(range(1, 14))
     assert {*names, "pipeline"} <= set(__spark_entry__.queries())
     assert set(catalog.ORACLE_SQL) <= set(names)
