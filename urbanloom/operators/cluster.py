@@ -16,6 +16,8 @@ from .graph import close_pairs, connected_components
 from .hulls import group_hulls
 from .profile import diversity
 from .spatial import cell, mode_by
+from .voronoi import voronoi_cells as voronoi_cells
+
 
 
 def _offsets(k: int) -> Column:
@@ -186,64 +188,5 @@ def buffer_cluster_sizes(groups: DataFrame, k: int = 5) -> DataFrame:
     return groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "group_id").limit(k)
 
 
-def voronoi_cells(points: DataFrame, key: str, pad: float = 10_000.0) -> DataFrame:
-    """Voronoi cell of every distinct place inside the padded extent: ring, area in km2, neighbours.
-
-    A cell is cut by the bisectors of the places within a radius; it is final once every vertex lies
-    within half that radius. The rest repeat with twice the radius, so dense places settle early with few
-    candidates and sparse ones look further.
-    """
-    p = cut_lineage(points.groupBy("x", "y").agg(F.min(key).alias(key)))
-    b = p.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")).first()
-    w, h = b["x1"] - b["x0"] or 1.0, b["y1"] - b["y0"] or 1.0
-    space = (w * h / max(b["n"], 1)) ** 0.5
-    peak = p.groupBy(cell("x", space), cell("y", space)).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 1
-    r = 3 * space / peak**0.5
-    limit = 2 * ((w + 2 * pad) ** 2 + (h + 2 * pad) ** 2) ** 0.5
-    box = G.rectangle(b["x0"] - pad, b["y0"] - pad, b["x1"] + pad, b["y1"] + pad)
-    todo, done = p, None
-    while True:
-        r = min(r, limit)
-        fit = _voronoi_round(todo, p, key, r, box)
-        far = F.array_max(F.transform("ring", lambda v: G.hypot2(v["x"] - F.col("x"), v["y"] - F.col("y"))))
-        fit = cut_lineage(fit.withColumn("ok", (far * 2 <= r) | F.lit(r >= limit)))
-        good = fit.where("ok").drop("ok")
-        done = good if done is None else done.unionByName(good)
-        todo = fit.where(~F.col("ok")).select("x", "y", key)
-        if r >= limit or todo.isEmpty():
-            break
-        r *= 2
-    return done.withColumn("area_km2", G.open_ring_area("ring") / 1e6)
-
-
-def _voronoi_round(todo: DataFrame, p: DataFrame, key: str, r: float, box: Column) -> DataFrame:
-    a = todo.select(key, "x", "y", _offsets(1).alias("o")).select(
-        key, "x", "y", (cell("x", r) + F.col("o.i")).alias("cx"), (cell("y", r) + F.col("o.j")).alias("cy")
-    )
-    o = p.select(F.col("x").alias("x2"), F.col("y").alias("y2"), cell("x", r).alias("cx"), cell("y", r).alias("cy"))
-    d = G.hypot2(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))
-    j = a.join(o, ["cx", "cy"]).where((d <= r) & (d > 0))
-    near = j.groupBy(key, "x", "y").agg(F.array_sort(F.collect_list(F.struct(d.alias("d"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("nb"))
-    got = todo.join(near.select(key, "nb"), key, "left").withColumn("nb", F.coalesce("nb", F.array().cast("array<struct<d:double,x:double,y:double>>")))
-    px, py = F.col("x"), F.col("y")
-
-    def cut(poly, q):
-        def side(v):  # positive on the own side of the bisector
-            return (q["x"] - px) * ((q["x"] + px) / 2 - v["x"]) + (q["y"] - py) * ((q["y"] + py) / 2 - v["y"])
-
-        # a bisector farther than every vertex cannot cut
-        reach = F.array_max(F.transform(poly, lambda v: G.hypot2(v["x"] - px, v["y"] - py)))
-        return F.when(q["d"] > 2 * reach, poly).otherwise(G.cut_half_plane(poly, side))
-
-    ring = F.aggregate("nb", F.slice(box, 1, 4), cut)
-    out = got.withColumn("ring", ring)
-
-    def touches(q):
-        eq = F.filter("ring", lambda v: F.abs(G.hypot2(v["x"] - px, v["y"] - py) - G.hypot2(v["x"] - q["x"], v["y"] - q["y"])) <= 1e-6 * (1 + q["d"]))
-        return F.size(eq) >= 2
-
-    return out.withColumn("neighbours", F.size(F.filter("nb", touches))).drop("nb")
-
-
 def cluster_pairs(points: DataFrame, key: str, d: float) -> DataFrame:
     return close_pairs(points, key, d)
