@@ -433,6 +433,17 @@ def voronoi_cells(s: Shapes):
     return v.agg(F.count(F.lit(1)).alias("cells"), F.sum("area_km2").alias("total"), F.every(own & (F.col("neighbours") > 0)).alias("covered"))
 
 
+@query("voronoi_measures", "erb area_km2:6 neighbours", """WITH p AS (SELECT x, y, min(erb) AS erb FROM v_stations GROUP BY x, y), b AS (SELECT min(x) - 10000 AS x0, max(x) + 10000 AS x1, min(y) - 10000 AS y0, max(y) + 10000 AS y1 FROM p),
+l AS (SELECT p.erb, q.erb AS other, (q.x - p.x) / d AS a, (q.y - p.y) / d AS b, d / 2 AS c FROM p JOIN (SELECT * FROM p) q ON q.erb <> p.erb, LATERAL (SELECT sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS d)
+    UNION ALL SELECT erb, -1, 1, 0, x1 - x FROM p, b UNION ALL SELECT erb, -2, -1, 0, x - x0 FROM p, b UNION ALL SELECT erb, -3, 0, 1, y1 - y FROM p, b UNION ALL SELECT erb, -4, 0, -1, y - y0 FROM p, b),
+e AS (SELECT s.erb, s.other, s.c, s.a * -t.b + s.b * t.a AS w, s.c - t.c * (t.a * s.a + t.b * s.b) AS room, t.other AS side, t.c AS tc FROM l t JOIN l s ON s.erb = t.erb AND s.other <> t.other),
+g AS (SELECT erb, side, any_value(tc) AS c, min(room / w) FILTER (w > 1e-14) AS high, max(room / w) FILTER (w < -1e-14) AS low, bool_or(abs(w) <= 1e-14 AND room < -1e-9) AS shut FROM e GROUP BY erb, side)
+--final
+SELECT erb, sum(c * (high - low)) / 2 / 1e6 AS area_km2, count(*) FILTER (side >= 0 AND high - low > 1e-3) AS neighbours FROM g WHERE high > low AND NOT shut GROUP BY erb""")
+def voronoi_measures(s: Shapes):
+    return CL.voronoi_cells(s.stations(), "erb")
+
+
 # ---- telecom ----------------------------------------------------------------------------------------------
 
 _ST = f"""SELECT s.*, e, n, t, least((10 ** ((e + 100 - 32.44 - 20 * log10(freq)) / 20)) / (1 + CASE t WHEN 'URBANA_DENSA' THEN 28 WHEN 'URBANA' THEN 22 WHEN 'SUBURBANA' THEN 16 WHEN 'RURAL' THEN 10 ELSE 18 END / 10.0), least(20, 25000 / freq)) AS r

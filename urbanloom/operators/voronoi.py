@@ -33,7 +33,7 @@ def voronoi_cells(points: DataFrame, key: str, pad: float = 10_000.0) -> DataFra
     x0, y0, n = b["x0"] or 0.0, b["y0"] or 0.0, b["n"]
     x1, y1 = b["x1"] or 0.0, b["y1"] or 0.0
     side = max(x1 - x0, y1 - y0) or 1.0
-    start = max(0, int(math.log(max(n, 4) / 4, 4)))
+    start = int(math.log(max(n, 4) / 4, 16)) * 2  # a round goes down two levels
 
     def at(c: str, low: float, level: int) -> Column:
         return F.least(F.floor((F.col(c) - low) / side * 2.0**level), F.lit(2**level - 1)).cast("bigint")
@@ -51,12 +51,15 @@ def voronoi_cells(points: DataFrame, key: str, pad: float = 10_000.0) -> DataFra
         )
         return F.broadcast(out) if 4**level <= _SMALL else out
 
+    cut = _cutter(key)
+    child = F.explode(F.flatten(F.transform("open", lambda c: F.array(*[
+        F.struct((4 * c["ix"] + i).alias("ix"), (4 * c["iy"] + j).alias("iy")) for i in range(4) for j in range(4)]))))
     # first look: one place from each of the 25 cells around
     grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)]))
     box = F.slice(G.rectangle(x0 - pad, y0 - pad, x1 + pad, y1 + pad), 1, 4)
     own = p.select(key, "x", "y", box.alias("ring"), F.array().cast(_NEAR).alias("nb"), grid.alias("o"))
     own = own.withColumns({"ix": at("x", x0, start) + F.col("o.i"), "iy": at("y", y0, start) + F.col("o.j")}).drop("o")
-    state = _cut(own.join(cells(start), ["ix", "iy"]), key)
+    state = cut(own.join(cells(start), ["ix", "iy"]))
     width = side / 2.0**start
     inside = F.lit(True)
     for c, low in (("x", x0), ("y", y0)):
@@ -73,18 +76,16 @@ def voronoi_cells(points: DataFrame, key: str, pad: float = 10_000.0) -> DataFra
         if level == start:
             state, wait = state.unionByName(wait), None
         if not state.isEmpty():
-            level += 1
-            child = F.explode(F.flatten(F.transform("open", lambda c: F.array(*[
-                F.struct((2 * c["ix"] + i).alias("ix"), (2 * c["iy"] + j).alias("iy")) for i in (0, 1) for j in (0, 1)]))))
+            level += 2
             rows = state.withColumn("o", child).select(key, "x", "y", "ring", "nb", F.col("o.ix").alias("ix"), F.col("o.iy").alias("iy"))
-            after = cut_lineage(_cut(rows.join(cells(level), ["ix", "iy"]), key).withColumn("far", F.lit(True)))
+            after = cut_lineage(cut(rows.join(cells(level), ["ix", "iy"])).withColumn("far", F.lit(True)))
             done = done.unionByName(after.where(F.size("open") == 0))
             state = after.where(F.size("open") > 0)
         elif wait is not None:
             level = start
         else:
             break
-    return done.select(key, "x", "y", "ring", F.size("nb").alias("neighbours"), (G.open_ring_area("ring") / 1e6).alias("area_km2"))
+    return done.select(key, "x", "y", "ring", F.size("nb").cast("bigint").alias("neighbours"), (G.open_ring_area("ring") / 1e6).alias("area_km2"))
 
 
 def _middle(c: str, i: str, low: float, side: float, level: int) -> Column:
@@ -109,16 +110,13 @@ def _meets(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.exists("ring", hit)
 
 
-def _cut(rows: DataFrame, key: str) -> DataFrame:
-    """One level: rings cut by the places the met cells carry; ``open`` are the cells that still may hold more."""
-    met = F.when(_meets(F.col("a"), F.col("b"), F.col("c"), F.col("d")), F.struct("ix", "iy", "n", "rep", "a", "b", "c", "d"))
-    got = rows.select(key, F.struct("x", "y", "ring", "nb").alias("own"), met.alias("met")).groupBy(key).agg(
-        F.first("own").alias("own"), F.collect_list("met").alias("met")
-    ).select(key, "own.*", "met")
+def _cutter(key: str):
+    """One level as a function of rows of place and cell: rings cut by the places the met cells carry; ``open`` are the
+    cells that still may hold more. The columns are the same on all levels and are built once."""
+    met = F.when(_meets(F.col("a"), F.col("b"), F.col("c"), F.col("d")), F.struct("ix", "iy", "n", "rep", "a", "b", "c", "d")).alias("met")
     px, py = F.col("x"), F.col("y")
-    new = F.filter(F.transform("met", lambda m: F.struct(
-        G.hypot2(m["rep"]["x"] - px, m["rep"]["y"] - py).alias("d"), m["rep"]["x"].alias("x"), m["rep"]["y"].alias("y"))), lambda q: q["d"] > 0)
-    got = got.withColumn("new", F.array_sort(new))
+    new = F.array_sort(F.filter(F.transform("met", lambda m: F.struct(
+        G.hypot2(m["rep"]["x"] - px, m["rep"]["y"] - py).alias("d"), m["rep"]["x"].alias("x"), m["rep"]["y"].alias("y"))), lambda q: q["d"] > 0))
 
     def cut(ring, q):
         def side(v):  # positive on the own side of the bisector
@@ -128,14 +126,19 @@ def _cut(rows: DataFrame, key: str) -> DataFrame:
         reach = F.array_max(F.transform(ring, _reach))
         return F.when(q["d"] > 2 * reach, ring).otherwise(G.cut_half_plane(ring, side))
 
-    got = got.withColumn("ring", F.aggregate("new", F.col("ring"), cut))
-
     def touches(q):
         even = F.filter("ring", lambda v: F.abs(_reach(v) - G.hypot2(v["x"] - q["x"], v["y"] - q["y"])) <= 1e-6 * (1 + q["d"]))
         return F.size(even) >= 2
 
+    own = F.struct("x", "y", "ring", "nb").alias("own")
+    ring = F.aggregate("new", F.col("ring"), cut)
+    near = F.filter(F.array_union("nb", "new"), touches).alias("nb")
     still = F.filter("met", lambda m: (m["n"] > 1) & _meets(m["a"], m["b"], m["c"], m["d"]))
-    return got.select(
-        key, "x", "y", "ring", F.filter(F.array_union("nb", "new"), touches).alias("nb"),
-        F.transform(still, lambda m: F.struct(m["ix"].alias("ix"), m["iy"].alias("iy"))).alias("open"),
-    )
+    ids = F.transform(still, lambda m: F.struct(m["ix"].alias("ix"), m["iy"].alias("iy"))).alias("open")
+    gather = F.first("own").alias("own"), F.collect_list("met").alias("met")
+
+    def level(rows: DataFrame) -> DataFrame:
+        got = rows.select(key, own, met).groupBy(key).agg(*gather).select(key, "own.*", "met")
+        return got.withColumn("new", new).withColumn("ring", ring).select(key, "x", "y", "ring", near, ids)
+
+    return level
