@@ -30,7 +30,7 @@ def dbscan(points: DataFrame, key: str, eps: float, min_samples: int) -> DataFra
     Cells have side eps/sqrt(2): a cell with ``min_samples`` points is all core and one cluster, so its
     points are never paired with each other. Only points of sparse cells are counted against their
     surroundings, and components run over cells, not points. Cell pairs are first linked through their
-    extreme core points; exact point pairs are formed only where that leaves a doubt.
+    extreme core points; where that leaves a doubt, both cells are halved level by level.
     """
     side = eps / 2**0.5
     keyed = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
@@ -79,12 +79,7 @@ def dbscan(points: DataFrame, key: str, eps: float, min_samples: int) -> DataFra
     sure = F.exists("ext1", lambda u: F.exists("ext2", lambda v: dist2(u, v) <= e2))
     cand = cut_lineage(a.join(b, ["cx", "cy"]).select("cell", "cell2", sure.alias("sure")))
     linked = cand.where("sure").select(F.col("cell").alias("src"), F.col("cell2").alias("dst"))
-    doubt = cand.where(~F.col("sure")).select("cell", "cell2")
-    cp = core.select(F.xxhash64("cx", "cy").alias("cell"), "x", "y")
-    one = doubt.join(cp, "cell").select("cell", "cell2", F.col("x").alias("x1"), F.col("y").alias("y1"))
-    two = cp.select(F.col("cell").alias("cell2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    dx, dy = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")
-    exact = one.join(two, "cell2").where(dx * dx + dy * dy <= e2).select(F.col("cell").alias("src"), F.col("cell2").alias("dst")).distinct()
+    exact = _meeting_cells(core, cand.where(~F.col("sure")).select("cell", "cell2"), side, e2).withColumnsRenamed({"cell": "src", "cell2": "dst"})
     cc = connected_components(linked.unionByName(exact), ext.select(F.col("cell").alias("node")))
     named = ext.join(cc, F.col("cell") == F.col("node")).select("cx", "cy", "lo", "component")
     label = named.groupBy("component").agg(F.min("lo").alias("cluster_id"))
@@ -99,6 +94,52 @@ def dbscan(points: DataFrame, key: str, eps: float, min_samples: int) -> DataFra
     )
 
 
+def _meeting_cells(core: DataFrame, doubt: DataFrame, side: float, e2: float, deepest: int = 24) -> DataFrame:
+    """The pairs ``(cell, cell2)`` of ``doubt`` that hold core places with a squared distance of at most ``e2``.
+
+    Both cells of a pair are halved level by level. Parts whose bounds lie too far apart are dropped, a pair is settled
+    by one place of each part or by bounds that lie wholly within the distance, and only parts that could still meet go
+    on. These lie along the two facing borders, so their number follows a border and not the pairs of places. Beyond
+    ``deepest`` halvings the places of a part, which hardly differ, are compared one by one.
+    """
+    def parts(level: int) -> DataFrame:
+        ids = [F.floor(F.col(c) / side * 2.0**k).alias(n + c) for k, n in ((level - 1, "p"), (level, "i")) for c in "xy"]
+        t = core.select("x", "y", *ids).groupBy("px", "py", "ix", "iy", *(["x", "y"] if level > deepest else []))
+        return t.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "y")).alias("rep"),
+                     F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("d"))
+
+    names = core.select("cx", "cy").distinct().withColumn("cell", F.xxhash64("cx", "cy"))
+    one, two = (names.select(F.col("cell").alias(k), F.col("cx").alias(s + "x"), F.col("cy").alias(s + "y")) for k, s in (("cell", "p"), ("cell2", "q")))
+    todo = cut_lineage(doubt.join(one, "cell").join(two, "cell2"))
+    found = doubt.where(F.lit(False))
+    u, v = "l", "r"
+
+    def square(dx, dy):
+        return dx * dx + dy * dy
+
+    def col(s: str, name: str) -> Column:
+        return F.col(f"{s}.{name}")
+
+    gap = square(*[F.greatest(col(v, lo) - col(u, hi), col(u, lo) - col(v, hi), F.lit(0.0)) for lo, hi in ("ac", "bd")])
+    span = square(*[F.greatest(col(v, hi) - col(u, lo), col(u, hi) - col(v, lo)) for lo, hi in ("ac", "bd")])
+    rep = square(col(u, "rep.x") - col(v, "rep.x"), col(u, "rep.y") - col(v, "rep.y"))
+    level = 0
+    while not todo.isEmpty():
+        level += 1
+        t = parts(level)
+        left = t.select("px", "py", F.struct("ix", "iy", "n", "rep", "a", "b", "c", "d").alias(u))
+        right = left.withColumnsRenamed({"px": "qx", "py": "qy", u: v})
+        pairs = todo.join(left, ["px", "py"]).join(right, ["qx", "qy"]).where(gap <= e2)
+        pairs = pairs.withColumn("hit", (rep <= e2) | (span <= e2)).where(F.col("hit") | (col(u, "n") * col(v, "n") > 1))
+        pairs = cut_lineage(pairs.select("cell", "cell2", "hit", *[col(s, f"i{c}").alias(k + c) for s, k in ((u, "p"), (v, "q")) for c in "xy"]))
+        hit = pairs.where("hit").select("cell", "cell2").distinct()
+        found = found.unionByName(hit)
+        if level > deepest:
+            break
+        todo = cut_lineage(pairs.where(~F.col("hit")).drop("hit").join(hit, ["cell", "cell2"], "left_anti"))
+    return found
+
+
 def standardise(points: DataFrame, cols: Sequence[str] = ("x", "y")) -> DataFrame:
     """Zero mean, unit population deviation."""
     from .table import zscore
