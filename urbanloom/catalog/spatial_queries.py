@@ -325,6 +325,22 @@ def kde_points(s: Shapes):
     return GD.kde_points(s.customers(), s.stations(), "erb")
 
 
+_MESH, _REACH = GD.binning(1e-3)
+
+
+@query("kde_binned", "erb density:12 bound:12", f"""WITH g AS (SELECT count(*) AS n, var_samp(x) * count(*) ** (-1.0 / 3) AS vx, var_samp(y) * count(*) ** (-1.0 / 3) AS vy, covar_samp(x, y) * count(*) ** (-1.0 / 3) AS cv FROM v_customers),
+w AS (SELECT n, sqrt(vx) AS a, cv / sqrt(vx) AS b, sqrt(vy - cv * cv / vx) AS c FROM g),
+m AS (SELECT floor(u) AS i, floor(v) AS j, u - floor(u) AS fu, v - floor(v) AS fv FROM (SELECT x / a / {_MESH!r} AS u, (y - b * (x / a)) / c / {_MESH!r} AS v FROM v_customers, w)),
+q AS (SELECT erb, floor(u) AS i, floor(v) AS j, u - floor(u) AS fu, v - floor(v) AS fv FROM (SELECT erb, x / a / {_MESH!r} AS u, (y - b * (x / a)) / c / {_MESH!r} AS v FROM v_stations, w)),
+k AS (SELECT i, j, sum(p) AS p FROM (SELECT i + di AS i, j + dj AS j, CASE di WHEN 1 THEN fu ELSE 1 - fu END * CASE dj WHEN 1 THEN fv ELSE 1 - fv END AS p FROM m, range(2) r(di), range(2) t(dj)) GROUP BY ALL),
+e AS (SELECT erb, i + di AS i, j + dj AS j, CASE di WHEN 1 THEN fu ELSE 1 - fu END * CASE dj WHEN 1 THEN fv ELSE 1 - fv END AS p FROM q, range(2) r(di), range(2) t(dj)),
+s AS (SELECT erb, sum(e.p * k.p * exp(-0.5 * ((e.i - k.i) * {_MESH!r}) ** 2) * exp(-0.5 * ((e.j - k.j) * {_MESH!r}) ** 2)) AS e FROM e JOIN k ON abs(e.i - k.i) <= {_REACH} AND abs(e.j - k.j) <= {_REACH} GROUP BY erb)
+--final
+SELECT erb, coalesce(e, 0) / (2 * pi() * a * c * n) AS density, 0.001 / (2 * pi() * a * c) AS bound FROM v_stations LEFT JOIN s USING (erb), w""")
+def kde_binned(s: Shapes):
+    return GD.kde_binned(s.customers(), s.stations(), "erb", 1e-3)
+
+
 @query("hex_grid", "q r points", """SELECT CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN dq > dr AND dq > ds THEN rr WHEN dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS r, count(*) AS points FROM (SELECT *, round(fq) AS rq, round(fr) AS rr, round(fs) AS rs, abs(round(fq) - fq) AS dq, abs(round(fr) - fr) AS dr, abs(round(fs) - fs) AS ds
     FROM (SELECT fq, fr, -fq - fr AS fs FROM (SELECT (sqrt(3) / 3 * x - y / 3) / 500 AS fq, (2.0 / 3 * y) / 500 AS fr FROM v_customers))) GROUP BY ALL""")
 def hex_grid(s: Shapes):
