@@ -408,7 +408,7 @@ def building_shape(s: Shapes):
 
 @query("enrich_roads", "road length:6 slope_class road_class", f"SELECT road, len AS length, 'x' AS slope_class, {_case('highway', L.ROAD_CLASS_ENRICHED, 'Local')} AS road_class FROM v_roadlen")
 def enrich_roads(s: Shapes):
-    d = EN.enrich_roads(s.roads(), "road", s.cells(), AFFINE, k=50)
+    d = EN.enrich_roads(s.roads(), "road", s.cells(), AFFINE)
     ok = F.col("betweenness").isNotNull() & (F.col("connectivity") >= 2) & F.col("slope_class").isNotNull()
     return d.withColumn("slope_class", F.when(ok, "x"))
 
@@ -476,10 +476,10 @@ def road_features(s: Shapes):
     return EN.road_features(s.roads())
 
 
-@query("prepare_road_graph", "split n")
+@query("prepare_road_graph", "node degree:9 betweenness:9 closeness:9 split")
 def prepare_road_graph(s: Shapes):
-    nodes, _ = EN.prepare_road_graph(s.street_lines(), "street", 1.0, k=200)
-    return nodes.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    nodes, _ = EN.prepare_road_graph(s.street_lines(), "street", 1.0)
+    return nodes
 
 
 @query("layer_catalog_sectors", "column type rows non_null distinct_values", """SELECT 'sector' AS "column", 'int' AS type, count(*) AS rows, count(*) AS non_null, count(DISTINCT sector) AS distinct_values FROM v_sectors UNION ALL SELECT 'pop', 'double', count(*), count(*), count(DISTINCT pop) FROM v_sectors""")
