@@ -160,15 +160,15 @@ def _whitening(points: DataFrame):
 
     The covariance scaled by Scott's factor is taken apart by Cholesky, so the kernel becomes a unit disc.
     """
-    s = one_row(points, n=F.count(F.lit(1)), vx=F.var_samp("x"), vy=F.var_samp("y"), cv=F.covar_samp("x", "y"))
-    f2 = F.pow(s["n"], F.lit(-1.0 / 3.0))  # squared Scott factor in two dimensions
-    a = F.sqrt(s["vx"] * f2)
-    b = s["cv"] * f2 / a
-    c = F.sqrt(s["vy"] * f2 - b * b)
+    row = points.agg(F.count(F.lit(1)).alias("n"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("cv"))
+    f2 = F.pow("n", F.lit(-1.0 / 3.0))  # squared Scott factor in two dimensions
+    row = row.withColumn("a", F.sqrt(F.col("vx") * f2)).withColumn("b", F.col("cv") * f2 / F.col("a"))
+    row = row.withColumn("c", F.sqrt(F.col("vy") * f2 - F.col("b") * F.col("b")))
+    s = row.select(F.struct("n", "a", "b", "c").alias("s")).scalar()  # one subquery, computed once
 
     def white(df: DataFrame, *keep) -> DataFrame:
-        u = F.col("x") / a
-        return df.select(*keep, u.alias("u"), ((F.col("y") - b * u) / c).alias("v"), a.alias("_a"), c.alias("_c"))
+        u = F.col("x") / s["a"]
+        return df.select(*keep, u.alias("u"), ((F.col("y") - s["b"] * u) / s["c"]).alias("v"), s["a"].alias("_a"), s["c"].alias("_c"))
 
     return s["n"], white
 
