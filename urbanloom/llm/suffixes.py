@@ -77,38 +77,63 @@ def _induce(s: np.ndarray, lms: np.ndarray, heads: np.ndarray, ends: np.ndarray)
     return sa
 
 
-def _double(s: np.ndarray) -> np.ndarray:
-    """Order by doubling: ranks of groups not yet single are refined by the rank ``width`` places on."""
-    n = len(s)
-    sa = np.argsort(s, kind="stable")
-    new = np.r_[True, s[sa[1:]] != s[sa[:-1]]]
-    rank = np.empty(n, dtype=np.int64)
-    first = np.flatnonzero(new)
-    rank[sa] = np.repeat(first, np.diff(np.r_[first, n]))
-    width = 1
-    while len(first) < n:
-        open_ = ~(new & np.r_[new[1:], True])
-        at = np.flatnonzero(open_)
-        members = sa[at]
-        ahead = np.where(members + width < n, rank[np.minimum(members + width, n - 1)], -1)
-        order = np.lexsort((ahead, rank[members]))
-        members, ahead = members[order], ahead[order]
-        sa[at] = members
-        own = rank[members]
-        fresh = np.r_[True, (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])]
-        new[at] = fresh
-        start = np.maximum.accumulate(np.where(fresh, at, 0))
-        rank[members] = start
-        first = np.flatnonzero(new)
-        width *= 2
-    return sa
+def _induce_singly(s: np.ndarray, lms: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same order place by place, for small buckets, where arrays gain nothing."""
+    text, head, tail = s.tolist(), heads.tolist(), (ends - 1).tolist()
+    n = len(text)
+    sa = [-1] * n
+    for p in lms[::-1].tolist():
+        c = text[p]
+        sa[tail[c]] = p
+        tail[c] -= 1
+    for i in range(n):  # larger suffixes; before a leftmost-smaller one the symbol is always greater
+        p = sa[i]
+        if p > 0:
+            c = text[p - 1]
+            if c >= text[p]:
+                sa[head[c]] = p - 1
+                head[c] += 1
+    tail = (ends - 1).tolist()
+    for i in range(n - 1, -1, -1):  # smaller suffixes; behind a bucket's tail stand only such
+        p = sa[i]
+        if p > 0:
+            c, d = text[p - 1], text[p]
+            if c < d or (c == d and i > tail[c]):
+                sa[tail[c]] = p - 1
+                tail[c] -= 1
+    sa[0] = n - 1
+    return np.array(sa, dtype=np.int32)
+
+
+def _order_short(s: np.ndarray, small: np.ndarray, lms: np.ndarray, longest: int) -> np.ndarray:
+    """Leftmost-smaller places by their substrings, symbol after symbol; groups already single are left alone.
+
+    A symbol counts twice, plus one for a smaller suffix: so no substring is a proper prefix of another.
+    """
+    key = 2 * s.astype(np.int64) + small
+    order = lms[np.argsort(key[lms], kind="stable")]
+    new = np.r_[True, key[order[1:]] != key[order[:-1]]]
+    ends = np.zeros(len(s), dtype=bool)
+    ends[lms] = True
+    live = order != len(s) - 1
+    for k in range(1, longest):
+        at = np.flatnonzero(live & ~(new & np.r_[new[1:], True]))
+        if not len(at):
+            break
+        group = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))[at]
+        ahead = key[order[at] + k]
+        by = np.lexsort((ahead, group))
+        order[at], ahead = order[at][by], ahead[by]
+        live[at] = ~ends[order[at] + k]  # substrings that end and still share a group are equal
+        new[at] |= np.r_[True, (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])]
+    return order
 
 
 def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     """Order of all suffixes of ``s`` (symbols below ``size``; the last one is 0 and occurs once).
 
-    Leftmost-smaller substrings are sorted by one induction, named, and their string of names is sorted by
-    recursion; where almost every name is different, buckets are too small to gain from and ranks are doubled.
+    Leftmost-smaller substrings are sorted (by one induction, or symbol by symbol where they are short and buckets
+    are small), named, and their string of names is sorted by recursion until all names differ.
     """
     n = len(s)
     if n < 3:
@@ -117,13 +142,19 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     ends = np.cumsum(np.bincount(s, minlength=size))
     heads = np.r_[0, ends[:-1]]
-    sa = _induce(s, lms, heads, ends)
-    mark = np.zeros(n, dtype=bool)
-    mark[lms] = True
-    sorted_lms = sa[mark[sa]]
-    # equal neighbours: same length and same symbols up to the next leftmost-smaller place
+    # place of each substring's last symbol
     until = np.full(n, n - 1, dtype=np.int64)
     until[lms[:-1]] = lms[1:]
+    longest = int((until[lms] - lms).max()) + 1
+    induce = _induce if n >= 64 * np.count_nonzero(ends > heads) else _induce_singly
+    if induce is _induce_singly and longest <= 64:
+        sorted_lms = _order_short(s, small, lms, longest)
+    else:
+        sa = induce(s, lms, heads, ends)
+        mark = np.zeros(n, dtype=bool)
+        mark[lms] = True
+        sorted_lms = sa[mark[sa]]
+    # equal neighbours: same length and same symbols up to the next leftmost-smaller place
     length = until[sorted_lms] - sorted_lms + 1
     even = np.flatnonzero(length[1:] == length[:-1])
     same = np.zeros(len(sorted_lms), dtype=bool)
@@ -138,9 +169,8 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
         names = np.empty(n, dtype=np.int32)
         names[sorted_lms] = name
         inner, kinds = names[lms], int(name[-1]) + 1
-        order = suffix_array(inner, kinds) if kinds * 64 <= len(inner) else _double(inner)
-        sorted_lms = lms[order]
-    return _induce(s, sorted_lms.astype(np.int32), heads, ends)
+        sorted_lms = lms[suffix_array(inner, kinds)]
+    return induce(s, sorted_lms.astype(np.int32), heads, ends)
 
 
 def permuted_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
