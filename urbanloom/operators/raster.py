@@ -178,29 +178,81 @@ def rasterize_lines(lines: DataFrame, coords: str, a: Affine) -> DataFrame:
     ).distinct()
 
 
+def least_squares_from(at: np.ndarray, col: np.ndarray, v2: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """``min((at - col)**2 + v2)`` for every place ``at`` and every run ``bounds[i]:bounds[i + 1]`` of ascending ``col``.
+
+    The parabola that is lowest at a place never lies left of the one lowest at a place further left. So the places are
+    solved by halving: each looks only at the parabolas between the answers of its two solved neighbours, and a level
+    costs as much as there are parabolas and places.
+    """
+    n = len(at)
+    best = np.zeros((len(bounds) - 1, n + 2), dtype=np.int64)  # lowest parabola by place, a fence at either end
+    best[:, 0], best[:, n + 1] = bounds[:-1], bounds[1:] - 1
+    out = np.zeros((len(bounds) - 1, n), dtype=np.int64)
+    step = 1 << n.bit_length() >> 1
+    while step:
+        mid = np.arange(step, n + 1, 2 * step)
+        low = best[:, mid - step].ravel()
+        size = best[:, np.minimum(mid + step, n + 1)].ravel() - low + 1
+        start = np.cumsum(size) - size
+        which = np.repeat(low - start, size) + np.arange(size.sum())
+        place = np.repeat(np.tile(at[mid - 1], len(best)), size)
+        cost = (place - col[which]) ** 2 + v2[which]
+        least = np.minimum.reduceat(cost, start)
+        hit = np.flatnonzero(cost == np.repeat(least, size))
+        best[:, mid] = which[hit[np.searchsorted(hit, start)]].reshape(len(best), -1)
+        out[:, mid - 1] = least.reshape(len(best), -1)
+        step >>= 1
+    return out
+
+
+def column_gaps(cells: DataFrame, burned: DataFrame, tall: int = 256) -> DataFrame:
+    """Rows to the nearest burned cell of the same column: ``(row, col, v)``, null where a column has none.
+
+    Columns are cut into bands of ``tall`` rows. Only the first and last burned row of each band are carried along the
+    column; the rows themselves are scanned band by band, so no task holds a column.
+    """
+    at = F.when(F.col("b") == 1, F.col("row"))
+    marked = cells.select("row", "col").join(burned.select("row", "col").distinct().withColumn("b", F.lit(1)), ["row", "col"], "left")
+    marked = marked.select("row", "col", at.alias("at"), F.floor(F.col("row") / tall).alias("band"))
+    # the last value up to a row, in either order: frames that end at the last row are rescanned for every row
+    past = Window.unboundedPreceding
+    bands = marked.groupBy("col", "band").agg(F.min("at").alias("a"), F.max("at").alias("z"))
+    by_band = Window.partitionBy("col")
+    carried = bands.select(
+        "col", "band",
+        F.last("z", ignorenulls=True).over(by_band.orderBy("band").rowsBetween(past, -1)).alias("above"),
+        F.last("a", ignorenulls=True).over(by_band.orderBy(F.desc("band")).rowsBetween(past, -1)).alias("below"),
+    )
+    by_row = Window.partitionBy("col", "band")
+    up = F.last("at", ignorenulls=True).over(by_row.orderBy("row").rowsBetween(past, 0))
+    down = F.last("at", ignorenulls=True).over(by_row.orderBy(F.desc("row")).rowsBetween(past, 0))
+    v = marked.join(carried, ["col", "band"]).withColumns({"up": F.coalesce(up, "above"), "down": F.coalesce(down, "below")})
+    return v.select("row", "col", F.least(F.col("row") - F.col("up"), F.col("down") - F.col("row")).alias("v"))
+
+
 def distance_to_burned(cells: DataFrame, burned: DataFrame, res: float, cap: float = 1000.0) -> DataFrame:
-    """Exact Euclidean distance to the nearest burned cell, capped: vertical runs, then a bounded row scan."""
+    """Exact Euclidean distance to the nearest burned cell, capped: gaps along columns, then parabolas along rows."""
     k = int(cap // res)
-    marked = cells.select("row", "col").join(burned.withColumn("b", F.lit(1)), ["row", "col"], "left")
-    w = Window.partitionBy("col").orderBy("row")
-    at = F.when(F.col("b") == 1, F.col("row"))
-    up = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    v = marked.withColumns({"u": F.col("row") - up, "d": down - F.col("row")})
-    v = v.select("row", "col", F.least("u", "d").alias("v")).where(F.col("v") <= k)
+    v = column_gaps(cells, burned).where(F.col("v") <= k)
     # along rows in tiles: a cell belongs to its own tile and, within k cells of an edge, to the next one
     wide = max(256, 2 * k)
+    tall = max(1, 8192 // wide)
     tiles = F.array_distinct(F.array(*[F.floor((F.col("col") + o) / wide) for o in (-k, 0, k)]))
-    parts = v.select("row", "col", "v", F.explode(tiles).alias("tile"))
+    parts = v.select("row", "col", "v", F.explode(tiles).alias("tile"), F.floor(F.col("row") / tall).alias("band"))
 
     def nearest(part: pd.DataFrame) -> pd.DataFrame:
         at = int(part["tile"].iloc[0]) * wide + np.arange(wide)
-        gap = at[:, None] - part["col"].to_numpy(np.int64)[None, :]
-        d2 = (gap * gap + part["v"].to_numpy(np.int64)[None, :] ** 2).min(axis=1)
-        return pd.DataFrame({"row": part["row"].iloc[0], "col": at, "d2": d2})[d2 <= k * k]
+        row, col, gap = (part[c].to_numpy(np.int64) for c in ("row", "col", "v"))
+        order = np.lexsort((col, row))
+        row, col, gap = row[order], col[order], gap[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        d2 = least_squares_from(at, col, gap * gap, np.r_[first, len(row)])
+        out = pd.DataFrame({"row": np.repeat(row[first], wide), "col": np.tile(at, len(first)), "d2": d2.ravel()})
+        return out[out["d2"] <= k * k]
 
     kinds = {c: cells.schema[c].dataType.simpleString() for c in ("row", "col")}
-    near = parts.groupBy("row", "tile").applyInPandas(nearest, f"row {kinds['row']}, col {kinds['col']}, d2 bigint")
+    near = parts.groupBy("band", "tile").applyInPandas(nearest, f"row {kinds['row']}, col {kinds['col']}, d2 bigint")
     dist = F.least(F.lit(float(cap)), F.sqrt("d2") * res)
     return cells.select("row", "col").join(near, ["row", "col"], "left").select("row", "col", F.coalesce(dist, F.lit(float(cap))).alias("distance"))
 
