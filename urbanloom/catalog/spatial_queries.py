@@ -404,6 +404,11 @@ def intra_cluster_mean_distance(s: Shapes):
     return CL.intra_cluster_mean_distance(_members(s), "erb", block=20)
 
 
+@query("intra_cluster_distance_tree", "erb cluster_id cluster_size mean_distance")
+def intra_cluster_distance_tree(s: Shapes):
+    return CL.intra_cluster_distance_tree(_members(s), "erb")
+
+
 @query("cluster_spatial_density", "cluster_id count hull_ok", f"WITH RECURSIVE {_DB}\n--final\nSELECT cluster_id, count(*) AS count, true AS hull_ok FROM v_stations JOIN db USING (erb) WHERE cluster_id >= 0 GROUP BY cluster_id HAVING count(*) >= 3")
 def cluster_spatial_density(s: Shapes):
     d = CL.cluster_spatial_density(_members(s))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -192,8 +193,7 @@ def intra_cluster_mean_distance(members: DataFrame, key: str, block: int = 2000)
     Coincident points are merged, clusters are cut into blocks, and each task sums the distances of one
     block against one other block; only the sums leave the task.
     """
-    m = members.where(F.col("cluster_id") >= 0)
-    places = m.groupBy("cluster_id", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    m, places = _cluster_places(members)
     sizes = places.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_c"), F.sum("w").alias("size"))
     cut = places.join(sizes, "cluster_id").withColumn("blocks", F.ceil(F.col("_c") / block).cast("int"))
     cut = cut_lineage(cut.withColumn("b", F.pmod(F.xxhash64("x", "y"), "blocks").cast("int")))
@@ -213,11 +213,108 @@ def intra_cluster_mean_distance(members: DataFrame, key: str, block: int = 2000)
 
     keys = ["cluster_id", "ba", "bb"]
     part = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(sums, "cluster_id bigint, x double, y double, s double")
+    return _mean_distances(m, key, part, sizes)
+
+
+def _cluster_places(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of clusters, and their different places with the number of members ``w``."""
+    m = members.where(F.col("cluster_id") >= 0)
+    return m, m.groupBy("cluster_id", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+def _mean_distances(m: DataFrame, key: str, part: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Partial sums of distances ``s`` per place as means per member."""
     tot = part.groupBy("cluster_id", "x", "y").agg(F.sum("s").alias("s")).join(sizes.select("cluster_id", "size"), "cluster_id")
     j = m.select(key, "cluster_id", "x", "y").join(tot, ["cluster_id", "x", "y"])
     return j.select(key, "cluster_id", F.col("size").cast("bigint").alias("cluster_size"), F.when(F.col("size") > 1, F.col("s") / (F.col("size") - 1)).alias("mean_distance"))
 
 
+def intra_cluster_distance_tree(members: DataFrame, key: str, rel: float = 1e-3, leaf: int = 16, deepest: int = 40) -> DataFrame:
+    """Mean distance of every member to the other members, at most ``rel`` times itself off; columns as the exact form.
+
+    Clusters are halved level by level into cells. Where a cell lies far enough from another one, its places count
+    for each place there as one: their number times the distance ``r`` to their mean, plus the second-order term of
+    their covariance. The third derivative of a distance along a line is at most ``2 / (3**0.5 * r**2)``, so the rest
+    is at most ``0.19245 * variance * radius / gap**2`` per place, and as distance is convex, ``r`` times the number
+    never exceeds the true sum: a pair of cells is far if that rest is within ``rel * gap``. Pairs of cells that are
+    near and hold few places (``leaf`` squared) are summed place by place, others are halved again, ``deepest`` times
+    at most. A cell meets a bounded number of far cells per level, however many places the cluster has.
+
+    Null coordinates never lie in a cluster; repeated places are one place with a weight; a cluster of one member has
+    a null mean.
+    """
+    m, places = _cluster_places(members.where(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    frame = places.groupBy("cluster_id").agg(
+        F.sum("w").alias("size"), F.count(F.lit(1)).alias("_c"), F.min("x").alias("x0"), F.min("y").alias("y0"),
+        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side"),
+    )
+    sizes = cut_lineage(frame)
+    places = cut_lineage(places.join(sizes, "cluster_id").select(
+        "cluster_id", "x", "y", "w", *[
+            F.when(F.col("side") > 0, (F.col(c) - F.col(f"{c}0")) / F.col("side")).otherwise(0.0).alias(f"u{c}") for c in "xy"
+        ]))
+
+    def at(level: int) -> list[Column]:
+        return [F.floor(F.col(f"u{c}") * 2.0**level).alias(f"i{c}") for c in "xy"]
+
+    def cells(level: int) -> DataFrame:
+        t = places.select("*", *at(level)).groupBy("cluster_id", "ix", "iy").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.min("x").alias("a"), F.min("y").alias("b"),
+            F.max("x").alias("c"), F.max("y").alias("d"), F.sum(F.col("w") * F.col("x")).alias("sx"),
+            F.sum(F.col("w") * F.col("y")).alias("sy"),
+        ).withColumns({"gx": F.col("sx") / F.col("w"), "gy": F.col("sy") / F.col("w")})
+        mean = t.select("cluster_id", "ix", "iy", "gx", "gy")
+        dx, dy = F.col("x") - F.col("gx"), F.col("y") - F.col("gy")
+        spread = places.select("*", *at(level)).join(mean, ["cluster_id", "ix", "iy"]).groupBy("cluster_id", "ix", "iy").agg(
+            F.sum(F.col("w") * dx * dx).alias("xx"), F.sum(F.col("w") * dx * dy).alias("xy"),
+            F.sum(F.col("w") * dy * dy).alias("yy"), F.max(F.sqrt(dx * dx + dy * dy)).alias("radius"),
+        )
+        t = t.join(spread, ["cluster_id", "ix", "iy"])
+        return t.select("cluster_id", F.shiftright("ix", 1).alias("px"), F.shiftright("iy", 1).alias("py"), F.struct(
+            "ix", "iy", "n", "w", "a", "b", "c", "d", "gx", "gy", "xx", "xy", "yy", "radius").alias("cell"))
+
+    def col(s: str, name: str) -> Column:
+        return F.col(f"{s}.{name}")
+
+    u, v = "t", "s"
+    sides = [F.greatest(col(v, lo) - col(u, hi), col(u, lo) - col(v, hi), F.lit(0.0)) for lo, hi in ("ac", "bd")]
+    gap = F.sqrt(sides[0] * sides[0] + sides[1] * sides[1])
+    variance = (col(v, "xx") + col(v, "yy")) / col(v, "w")
+    one = col(v, "n") == 1
+    far = one | ((gap > 0) & (0.19245 * variance * col(v, "radius") <= rel * gap * gap * gap))
+    keys = ["cluster_id", "ix", "iy"]
+    sums: list[DataFrame] = []
+    todo = sizes.select("cluster_id", *[F.lit(0).cast("bigint").alias(k) for k in ("px", "py", "qx", "qy")])
+    level = 0
+    while True:
+        t = cut_lineage(cells(level))
+        left, right = t.withColumnRenamed("cell", u), t.withColumnsRenamed({"px": "qx", "py": "qy", "cell": v})
+        pairs = todo.join(left, ["cluster_id", "px", "py"]).join(right, ["cluster_id", "qx", "qy"])
+        few = (col(u, "n") * col(v, "n") <= leaf * leaf) | F.lit(level >= deepest)
+        pairs = cut_lineage(pairs.select(
+            "cluster_id", col(u, "ix").alias("ix"), col(u, "iy").alias("iy"), v,
+            F.when(far, "far").when(few, "near").otherwise("open").alias("kind"),
+        ))
+        here = places.select("cluster_id", "x", "y", "w", *at(level))
+        dx, dy = F.col("x") - col(v, "gx"), F.col("y") - col(v, "gy")
+        r2 = dx * dx + dy * dy
+        bend = (col(v, "xx") * dy * dy - 2 * col(v, "xy") * dx * dy + col(v, "yy") * dx * dx) / (2 * r2 * F.sqrt(r2))
+        value = col(v, "w") * F.sqrt(r2) + F.when(one | (r2 == 0), 0.0).otherwise(bend)
+        sums.append(here.join(pairs.where("kind = 'far'"), keys).groupBy("cluster_id", "x", "y").agg(F.sum(value).alias("s")))
+        near = pairs.where("kind = 'near'").select(*keys, col(v, "ix").alias("jx"), col(v, "iy").alias("jy"))
+        there = here.select("cluster_id", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2"),
+                            F.col("ix").alias("jx"), F.col("iy").alias("jy"))
+        ex, ey = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+        met = here.join(near, keys).join(there, ["cluster_id", "jx", "jy"])
+        sums.append(met.groupBy("cluster_id", "x", "y").agg(F.sum(F.col("w2") * F.sqrt(ex * ex + ey * ey)).alias("s")))
+        todo = pairs.where("kind = 'open'").select(
+            "cluster_id", F.col("ix").alias("px"), F.col("iy").alias("py"), col(v, "ix").alias("qx"), col(v, "iy").alias("qy"))
+        if todo.isEmpty():
+            break
+        level += 1
+    return _mean_distances(m, key, reduce(DataFrame.unionByName, sums), sizes)
+
+
 def buffer_clusters(points: DataFrame, key: str, d: float = 100.0) -> DataFrame:
     """Groups of points whose ``d`` buffers touch (chains of gaps up to 2d): ``(key, group_id)``."""
     from .graph import place_clusters
