@@ -17,3 +17,14 @@ def test_a_side_of_few_keys_is_broadcast(spark):
         assert "BroadcastHashJoin" in j._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_buffer_clusters_link_cells_and_not_points(spark, monkeypatch):
+    from urbanloom.operators import cluster as CL
+    from urbanloom.operators import graph
+
+    monkeypatch.setattr(graph, "close_pairs", None)  # pairs of points are not needed
+    rows = [("b", 0.0, 0.0), ("c", 5.0, 0.0), ("a", 3.0, 0.0), ("d", 15.0, 0.0), ("e", 25.1, 0.0), ("f", 25.1, 0.0), ("g", None, 0.0)]
+    points = spark.createDataFrame(rows, "key string, x double, y double")
+    found = {r["key"]: r["group_id"] for r in CL.buffer_clusters(points, "key", 5.0).collect()}
+    assert found == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "e"}

@@ -33,6 +33,13 @@ def dbscan(points: DataFrame, key: str, eps: float, min_samples: int) -> DataFra
     surroundings, and components run over cells, not points. Cell pairs are first linked through their
     extreme core points; where that leaves a doubt, both cells are halved level by level.
     """
+    return _density_clusters(points, key, eps, min_samples).select(
+        key, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("is_core", F.lit(False)).alias("is_core")
+    )
+
+
+def _density_clusters(points: DataFrame, key: str, eps: float, min_samples: int) -> DataFrame:
+    """``dbscan`` with nulls for noise."""
     side = eps / 2**0.5
     keyed = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     keyed = keyed.withColumns({"cx": cell("x", side), "cy": cell("y", side)})
@@ -90,9 +97,7 @@ def dbscan(points: DataFrame, key: str, eps: float, min_samples: int) -> DataFra
     done = core_l.select("x", "y", "cluster_id", F.lit(True).alias("is_core")).unionByName(
         border.select("x", "y", "cluster_id", F.lit(False).alias("is_core"))
     )
-    return keyed.join(done, ["x", "y"], "left").select(
-        key, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("is_core", F.lit(False)).alias("is_core")
-    )
+    return keyed.join(done, ["x", "y"], "left").select(key, "cluster_id", "is_core")
 
 
 def _meeting_cells(core: DataFrame, doubt: DataFrame, side: float, e2: float, deepest: int = 24) -> DataFrame:
@@ -316,10 +321,13 @@ def intra_cluster_distance_tree(members: DataFrame, key: str, rel: float = 1e-3,
 
 
 def buffer_clusters(points: DataFrame, key: str, d: float = 100.0) -> DataFrame:
-    """Groups of points whose ``d`` buffers touch (chains of gaps up to 2d): ``(key, group_id)``."""
-    from .graph import place_clusters
+    """Groups of points whose ``d`` buffers touch (chains of gaps up to 2d): ``(key, group_id)``, named by the lowest key.
 
-    return place_clusters(points, key, 2 * d).withColumnRenamed("cluster", "group_id")
+    That is density clustering where every point is a core, so cells are linked and points are not paired. Rows without
+    a place have no group.
+    """
+    whole = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    return _density_clusters(whole, key, 2 * d, 1).select(key, F.col("cluster_id").alias("group_id"))
 
 
 def buffer_cluster_sizes(groups: DataFrame, k: int = 5) -> DataFrame:
