@@ -50,3 +50,24 @@ def test_flow_through_trees_and_partings(spark):
     for more in ([(0, 1000, 1.0), (0, 1001, 1.0), (1001, 0, 1.0)], [(2000, 2001, 1.0), (2001, 2000, 1.0)], [(3000, 3000, 1.0)]):
         with pytest.raises(ValueError):
             GR.flow_accumulation(spark.createDataFrame(rows + more, schema))
+
+
+def test_only_broken_rings_go_to_the_hull(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from urbanloom.operators import hulls
+    from urbanloom.operators import table as T
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def counted(s):
+        seen.add(int(s.notna().sum()))
+        return s.map(lambda ring: None)
+
+    monkeypatch.setattr(hulls, "ring_hull", counted)
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+    rows = [(1, square), (2, square[:2]), (3, square[::-1]), (4, None)]
+    df = spark.createDataFrame(rows, "id long, ring array<struct<x:double,y:double>>")
+    got = {r["id"]: r["repair_step"] for r in T.make_valid_chain(df, "ring").select("id", "repair_step").collect()}
+    assert got == {1: "repaired", 2: "dropped", 3: "repaired", 4: "dropped"} and seen.value == 1
