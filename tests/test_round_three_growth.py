@@ -71,3 +71,48 @@ def test_only_broken_rings_go_to_the_hull(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, ring array<struct<x:double,y:double>>")
     got = {r["id"]: r["repair_step"] for r in T.make_valid_chain(df, "ring").select("id", "repair_step").collect()}
     assert got == {1: "repaired", 2: "dropped", 3: "repaired", 4: "dropped"} and seen.value == 1
+
+
+def _to_line(x, y, line):
+    def one(a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = ((x - a[0]) * dx + (y - a[1]) * dy) / (dx * dx + dy * dy) if dx or dy else 0.0
+        t = max(0.0, min(1.0, t))
+        return ((x - a[0] - t * dx) ** 2 + (y - a[1] - t * dy) ** 2) ** 0.5
+
+    return min(one(a, b) for a, b in zip(line, line[1:], strict=False))
+
+
+def test_lines_meet_points_without_a_shuffle_of_pairs(spark):
+    from urbanloom.operators import spatial as S
+
+    rnd = random.Random(9)
+    lines = []
+    for i in range(25):
+        x, y, line = rnd.uniform(0, 60), rnd.uniform(0, 60), []
+        for _ in range(rnd.choice([2, 3, 5, 6, 12])):
+            line.append((x, y))
+            x, y = x + rnd.uniform(-9, 9), y + rnd.uniform(-9, 9)
+        lines.append((i, line))
+    lines += [(98, [(1.0, 1.0)]), (99, None)]
+    points = [(i, rnd.uniform(0, 60), rnd.uniform(0, 60), rnd.choice("abc")) for i in range(150)] + [(150, None, 3.0, "a")]
+    ldf = spark.createDataFrame(lines, "line long, coords array<struct<x:double,y:double>>")
+    pdf = spark.createDataFrame(points, "id long, x double, y double, kind string")
+    r = 6.0
+    near = {i: [(_to_line(x, y, line), k) for _, x, y, k in points if x is not None and _to_line(x, y, line) <= r] for i, line in lines[:25]}
+    near |= {98: [], 99: []}
+    df = S.station_accessibility(pdf, ldf, "id", "line", "coords", r)
+    got = {q["line"]: (q["min_distance"], q["stations"]) for q in df.collect()}
+    assert got == {i: (pytest.approx(min(n)[0]) if n else None, len(n)) for i, n in near.items()}
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("keys=[line") == 2  # no grouping by point
+
+
+def test_points_are_copied_around_and_not_segments(spark):
+    from urbanloom.operators import spatial as S
+
+    segs = spark.createDataFrame([(1, 0.0, 0.0, 30.0, 5.0), (2, 12.0, 12.0, 12.0, 12.0), (3, -7.5, 20.0, -7.5, 31.0)], "line long, ax double, ay double, bx double, by double")
+    boxed = segs.selectExpr("*", "least(ax, bx) minx", "least(ay, by) miny", "greatest(ax, bx) maxx", "greatest(ay, by) maxy")
+    points = [(i, x * 2.5, y * 2.5) for i, (x, y) in enumerate((x, y) for x in range(-8, 18) for y in range(-6, 18))]
+    got = sorted((r["l_id"], r["r_line"]) for r in S.segments_near_points(spark.createDataFrame(points, "id long, x double, y double"), boxed, 10.0, 20.0).collect())
+    ends = {r["line"]: [(r["ax"], r["ay"]), (r["bx"], r["by"])] for r in segs.collect()}
+    assert got == sorted((i, k) for i, x, y in points for k, e in ends.items() if _to_line(x, y, e) <= 10.0)
