@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -145,3 +146,26 @@ def test_draw_holds_to_the_mix(documents):
         got[r["doc_id"]] += len(WORD.findall(r["text"]))
     assert dict(got) == want
     assert mixing.draw(df).columns == df.columns
+
+
+def test_draw_moves_texts_once(llm, documents):
+    """Whatever the joins: one exchange carries rows. Copies, cut ones and null sources come out of it whole."""
+    before = llm.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    llm.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [r for r in mixed_rows(300) if r[1]]
+        drawn = mixing.draw(documents(rows))
+        mode = llm._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = drawn._jdf.queryExecution().explainString(mode)
+        moved = [x for x in re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan) if "_row#" in x]
+        assert len(moved) == 1, moved
+        taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(documents(rows)).collect() if r["taken"]}
+        got = defaultdict(list)
+        for r in drawn.collect():
+            got[r["doc_id"]].append(len(WORD.findall(r["text"])))
+        want = {i: [s] * (t // s) + ([t % s] if t % s else []) for i, (t, s) in taken.items()}
+        assert {i: sorted(n, reverse=True) for i, n in got.items()} == want
+        source = {r[0]: r[3] for r in rows}
+        assert any(source[i] is None for i in got) and any(len(n) > 1 for n in got.values())
+    finally:
+        llm.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

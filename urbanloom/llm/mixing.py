@@ -6,6 +6,7 @@ quotient ``votes / (2 seats + 1)``; the votes are the source's share of its targ
 with more seats than blocks repeats all its blocks whole and takes the rest from the front of its seeded order.
 
 Only the table of ``(shard, source)`` totals is apportioned in Python, one shard at a time: as many rows as sources.
+Rows move once, by shard and source, and stay there for running sums, quotas and the copies that ``draw`` makes of them.
 Running sums go over the documents of one source in one shard, about ``shard_docs`` at most, also for a hot source.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, after all others; ties of
@@ -102,13 +103,16 @@ def mix(
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     key, deal = (F.md5(F.concat(F.lit(f"{k}:"), name)) for k in (seed + 1, seed))
+    source = F.col(source_col).cast("string")
     rows = docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_src"), size.alias("_size"),
+        F.col(id_col).alias("_id"), source.alias("_src"), size.alias("_size"),
+        # the source as a key without nulls: a null-safe join would move all rows a second time
+        F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("_key_src"),
         (F.conv(F.substring(deal, 1, 7), 16, 10).cast("long") % shards).alias("_shard"), key.alias("_key"),
         *([whole_row(docs).alias("_row")] if row else []),
     )
-    rows = rows.repartition("_shard", "_src")  # words are counted once; totals and running sums share this exchange
     cells = rows.groupBy("_shard", "_src").agg(F.sum("_size").alias("_cell"))
+    rows = rows.repartition("_shard", "_key_src")  # running sums and the join with quotas share this exchange
     goals = targets(
         cells.groupBy("_src").agg(F.sum("_cell").alias("source_size")).withColumnRenamed("_src", "source"), limit
     )
@@ -135,12 +139,15 @@ def mix(
     groups = voted.withColumn("_all", F.lit(True)).groupBy("_all") if carry else voted.groupBy("_shard")
     quotas = groups.applyInPandas(
         apportion, "_shard long, _src string, _cell long, source_size long, target double, _quota long"
-    ).select(F.col("_shard").alias("_qs"), F.col("_src").alias("_qsrc"), "_cell", "source_size", "target", "_quota")
-    before = Window.partitionBy("_shard", "_src").orderBy("_key", "_id", "_size").rowsBetween(
+    ).select(
+        F.col("_shard").alias("_qs"), F.coalesce(F.concat(F.lit("="), "_src"), F.lit("")).alias("_qsrc"), "_cell",
+        "source_size", "target", "_quota",
+    )
+    before = Window.partitionBy("_shard", "_key_src").orderBy("_key", "_id", "_size").rowsBetween(
         Window.unboundedPreceding, -1
     )
     placed = rows.withColumn("_at", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    got = placed.join(quotas, (F.col("_shard") == F.col("_qs")) & F.col("_src").eqNullSafe(F.col("_qsrc")))
+    got = placed.join(quotas, (F.col("_shard") == F.col("_qs")) & (F.col("_key_src") == F.col("_qsrc")))
     whole = F.when(F.col("_cell") > 0, F.floor(F.col("_quota") / F.col("_cell"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("_quota") - whole * F.col("_cell")
     front = F.greatest(F.lit(0), F.least(F.col("_size"), rest - F.col("_at")))
@@ -155,14 +162,17 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """The mix as rows of ``docs``: a document of size ``s`` of which ``t`` words are taken stands there ``t // s``
     times whole, and once more cut after ``t % s`` words if that is not 0. Documents of which nothing is taken go."""
     mixed = mix(docs, id_col, text_col, source_col, row="_row", **options)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    whole = mixed.where(copies > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), copies))).select("_row.*")
-    words = F.col("taken") % F.col("size")
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    words = F.coalesce(F.col("taken") % F.nullif(F.col("size"), F.lit(0)), F.lit(0))
     text = F.col("_row")[text_col]
     lead = F.when(text.rlike("^[\\x20\\x09-\\x0D]"), 2).otherwise(1)  # text before the first word
-    rest = F.element_at(F.split(text, "[\\x20\\x09-\\x0D]+", (words + lead).cast("int")), -1)
+    rest = F.element_at(F.split(text, "[\\x20\\x09-\\x0D]+", (F.col("_words") + lead).cast("int")), -1)
     part = F.left(text, F.char_length(text) - F.char_length(rest))
-    cut = mixed.where((F.col("size") > 0) & (words > 0)).select("_row", part.alias("_part"))
-    return whole.unionByName(cut.select(*[
-        F.col("_part").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns
-    ]))
+    # copies 1 to ``_whole`` are whole, the one after them is cut
+    stands = mixed.select("_row", whole.alias("_whole"), words.alias("_words"))
+    last = F.col("_whole") + F.when(F.col("_words") > 0, 1).otherwise(0)
+    each = stands.where(last > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), last)))
+    return each.select(*[
+        (F.when(F.col("_i") <= F.col("_whole"), text).otherwise(part) if c == text_col else F.col("_row")[c]).alias(c)
+        for c in docs.columns
+    ])
