@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from urbanloom.operators import graph as GR
+from urbanloom.operators import telecom as TE
 
 
 def test_flow_takes_few_rounds_on_a_long_river(spark, monkeypatch):
@@ -116,3 +118,19 @@ def test_points_are_copied_around_and_not_segments(spark):
     got = sorted((r["l_id"], r["r_line"]) for r in S.segments_near_points(spark.createDataFrame(points, "id long, x double, y double"), boxed, 10.0, 20.0).collect())
     ends = {r["line"]: [(r["ax"], r["ay"]), (r["bx"], r["by"])] for r in segs.collect()}
     assert got == sorted((i, k) for i, x, y in points for k, e in ends.items() if _to_line(x, y, e) <= 10.0)
+
+
+def test_edges_of_one_group_spread_over_tasks(spark):
+    rng = random.Random(8)
+    rows = [(i * 7 - 300, rng.random() * 900, rng.random() * 900, 3, "A") for i in range(400)]
+    rows += [(9000 + i, 5.0 * i, 1.0, 4 + i % 2, "AB"[i % 3 % 2]) for i in range(30)]
+    rows += [(9500, 0.0, 0.0, -1, "A"), (9501, 0.0, 0.0, 3, None), (9502, 1.0, 1.0, None, "A")]
+    df = spark.createDataFrame(rows, "erb long, x double, y double, cluster_id long, operator string")
+    edges = TE.station_station_edges(df, "erb", "operator", block=40)
+    got = {(r["src"], r["dst"]): r["km"] for r in edges.collect()}
+    want = {(a[0], b[0]): ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 / 1000 for a in rows for b in rows
+            if a[0] < b[0] and a[3] == b[3] and a[4] == b[4] and a[4] and a[3] is not None and a[3] >= 0}
+    assert got.keys() == want.keys() and edges.count() == len(want)
+    assert all(got[k] == pytest.approx(v) for k, v in want.items())
+    sizes = [r["count"] for r in edges.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < len(want) / 4, sizes
