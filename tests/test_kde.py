@@ -40,3 +40,19 @@ def test_without_a_density(spark):
     none = spark.createDataFrame([], "x double, y double")
     for df in (none, places.where("id = 1").select("x", "y")):
         assert {(r["id"], r["density"], r["bound"]) for r in GD.kde_binned(df, places, "id").collect()} == {(1, 0.0, None), (2, 0.0, None)}
+
+
+def test_full_sum_pairs_nothing(spark):
+    """Beyond a double's resolution equal to the sum over pairs, by rows that follow points, places and cells."""
+    rng = random.Random(7)
+    pts = [(1e5 + rng.gauss(0, 3), -2e5 + rng.gauss(0, 50)) for _ in range(3000)] + [(1e5 + 40.0, -2e5)] * 20
+    at = [*pts[::10], (1e5 + 20.0, -2e5 + 3.0), (1e9, 0.0)]
+    want, peak = full(pts, at)
+    df = spark.createDataFrame(pts, "x double, y double").unionByName(spark.createDataFrame([], "x double, y double"))
+    places = spark.createDataFrame([(f"p{i}", *q) for i, q in enumerate(at)] + [("none", None, 1.0)], "id string, x double, y double")
+    asked = GD.kde_points(df, places, "id")
+    got = {r["id"]: r["density"] for r in asked.collect()}
+    assert got.pop("none") == 0.0 and len(got) == len(at)
+    assert all(abs(got[f"p{i}"] - w) <= 2e-13 * peak for i, w in enumerate(want))
+    rows = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count("MapInArrow") == 2 and rows.count("Join") == 2, rows  # places meet their own cell's nodes, no points
