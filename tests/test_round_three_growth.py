@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urbanloom.operators import graph as GR
+from urbanloom.operators import spatial as S
 from urbanloom.operators import telecom as TE
 
 
@@ -134,3 +135,25 @@ def test_edges_of_one_group_spread_over_tasks(spark):
     assert all(got[k] == pytest.approx(v) for k, v in want.items())
     sizes = [r["count"] for r in edges.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < len(want) / 4, sizes
+
+
+def test_land_use_is_counted_where_it_is_found(spark):
+    rng = random.Random(4)
+    lines = [(i, [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(rng.randint(2, 6))]) for i in range(40)]
+    lines.append((99, [(5000, 5000), (5010, 5000)]))
+    lots = [(i, float(rng.randint(0, 400)), float(rng.randint(0, 400)), rng.choice(["a", "b", "c", None])) for i in range(150)]
+
+    def apart(x, y, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = 0.0 if dx == dy == 0 else max(0.0, min(1.0, ((x - a[0]) * dx + (y - a[1]) * dy) / (dx * dx + dy * dy)))
+        return ((x - a[0] - t * dx) ** 2 + (y - a[1] - t * dy) ** 2) ** 0.5
+
+    want = {}
+    for k, c in lines:
+        kinds = [u for _, x, y, u in lots if u and any(apart(x, y, a, b) <= 37.3 for a, b in zip(c, c[1:], strict=False))]
+        want[k] = min(set(kinds), key=lambda u: (-kinds.count(u), u)) if kinds else "unknown"
+    roads = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in c]) for k, c in lines], "road long, coords array<struct<x:double,y:double>>")
+    places = spark.createDataFrame(lots, "lot long, x double, y double, landuse string")
+    out = S.context_landuse(roads, places, "lot", "road", "coords", "landuse", 37.3)
+    assert {r["road"]: r["landuse"] for r in out.collect()} == want and want[99] == "unknown"
+    assert "l_lot" not in out._jdf.queryExecution().optimizedPlan().toString()  # pairs would be dealt by it
