@@ -19,6 +19,7 @@ from .profile import diversity
 from .spatial import cell, mode_by
 from .voronoi import voronoi_cells as voronoi_cells
 
+_MOST_BLOCKS, _LARGEST_BLOCK = 64, 4000
 
 
 def _offsets(k: int) -> Column:
@@ -192,15 +193,23 @@ def overall_density(points: DataFrame, key: str) -> DataFrame:
     return h.select((F.col("hull_area") / 1e6).alias("area_km2"), n.alias("count"), (n / (F.col("hull_area") / 1e6)).alias("density"))
 
 
+def _blocks(places: Column, block: int) -> Column:
+    """Blocks of a cluster: of ``block`` places, but not more than ``_MOST_BLOCKS`` unless they would grow too large."""
+    most = F.greatest(F.lit(_MOST_BLOCKS), F.ceil(places / _LARGEST_BLOCK))
+    return F.least(F.ceil(places / block), most).cast("int")
+
+
 def intra_cluster_mean_distance(members: DataFrame, key: str, block: int = 2000) -> DataFrame:
     """Mean distance of every member to the other members, with the cluster size.
 
     Coincident points are merged, clusters are cut into blocks, and each task sums the distances of one
-    block against one other block; only the sums leave the task.
+    block against one other block; only the sums leave the task. A place is copied once per block of its cluster,
+    so a cluster is not cut into more than ``_MOST_BLOCKS`` of ``block`` places but into larger ones, up to
+    ``_LARGEST_BLOCK`` places.
     """
     m, places = _cluster_places(members)
     sizes = places.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_c"), F.sum("w").alias("size"))
-    cut = places.join(sizes, "cluster_id").withColumn("blocks", F.ceil(F.col("_c") / block).cast("int"))
+    cut = places.join(sizes, "cluster_id").withColumn("blocks", _blocks(F.col("_c"), block))
     cut = cut_lineage(cut.withColumn("b", F.pmod(F.xxhash64("x", "y"), "blocks").cast("int")))
     span = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     left = cut.select("cluster_id", F.col("b").alias("ba"), span, "x", "y", F.lit(0.0).alias("w")).withColumnRenamed("other", "bb")
