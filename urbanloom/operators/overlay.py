@@ -26,15 +26,31 @@ def explode_trapezoids(df: DataFrame, rings: str, keep: Sequence[str], rule: str
     return t.withColumns({"minx": F.least(*xs), "maxx": F.greatest(*xs), "miny": F.col("t.y0"), "maxy": F.col("t.y1")})
 
 
+def _upright() -> Column:
+    """Both sides of the trapezoid ``t`` are upright."""
+    def upright(side: str) -> Column:
+        return G.side_x(F.col(f"t.{side}"), F.col("t.y0")) == G.side_x(F.col(f"t.{side}"), F.col("t.y1"))
+
+    return upright("left") & upright("right")
+
+
 def overlap_area_join(left: DataFrame, right: DataFrame, key: str, right_key: str, size: float, rings: str = "rings",
                       right_rings: str | None = None) -> DataFrame:
-    """``(key, right_key, overlap)`` of all pairs of polygons that share an area."""
+    """``(key, right_key, overlap)`` of all pairs of polygons that share an area.
+
+    Trapezoids with upright sides are the rectangles of their boxes; pairs of these take differences of their bounds.
+    """
     a = explode_trapezoids(left, rings, [key])
     b = explode_trapezoids(right, right_rings or rings, [right_key])
-    p = box_pairs(a, b, size).select(
-        F.col(f"l_{key}").alias(key), F.col(f"r_{right_key}").alias(right_key),
-        G.trapezoid_overlap(F.col("l_t"), F.col("r_t")).alias("overlap"),
-    )
+    box = ["minx", "miny", "maxx", "maxy"]
+    plain = _upright()
+    sides = [F.least(f"l_max{c}", f"r_max{c}") - F.greatest(f"l_min{c}", f"r_min{c}") for c in "xy"]
+    names = [F.col(f"l_{key}").alias(key), F.col(f"r_{right_key}").alias(right_key)]
+    flat = box_pairs(a.where(plain).select(key, *box), b.where(plain).select(right_key, *box), size).select(
+        *names, F.when((sides[0] > 0) & (sides[1] > 0), sides[0] * sides[1]).otherwise(0.0).alias("overlap"))
+    p = flat
+    for one, two in ((a.where(plain), b.where(~plain)), (a.where(~plain), b)):
+        p = p.unionByName(box_pairs(one, two, size).select(*names, G.trapezoid_overlap(F.col("l_t"), F.col("r_t")).alias("overlap")))
     return p.where(F.col("overlap") > 0).groupBy(key, right_key).agg(F.sum("overlap").alias("overlap"))
 
 
