@@ -58,3 +58,33 @@ def test_containment_with_a_fallback(spark, monkeypatch):
     assert joined(share=0.6, drop_unmatched=True) == [(1, 7), (1, 8), (2, 0), (3, 0), (4, 8)]
     monkeypatch.setattr(S.G, "point_in_polygon", lambda *a: F.lit(None).cast("boolean"))
     assert joined(drop_unmatched=True) == found  # rectangles are compared, not walked
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def test_buildings_near_a_line_are_counted_where_found(spark):
+    roads = spark.createDataFrame([(1, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)]), (2, [(500.0, 500.0), (510.0, 500.0)])],
+                                  "road long, coords array<struct<x:double,y:double>>")
+    places = [(1, 5.0, 3.0, 10.0, 2.0), (2, 10.0, 1.0, 30.0, 4.0), (3, 14.0, 9.0, 50.0, None), (4, 40.0, 40.0, 7.0, 7.0)]
+    near = spark.createDataFrame(places, "id long, x double, y double, area double, height double")
+    out = S.context_buildings(roads, near, "id", "road", "coords", 5.0)
+    got = {r["road"]: (r["building_count"], r["avg_area"], r["avg_height"]) for r in out.collect()}
+    assert got == {1: (3, 30.0, 3.0), 2: (0, 0.0, 0.0)}
+    assert "l_id" not in plan_of(out)  # before, pairs of road and building were shuffled
+
+
+def test_close_pairs_look_to_one_side(spark):
+    import random
+
+    from urbanloom.operators import graph as GR
+
+    rng = random.Random(3)
+    places = {(float(rng.randrange(-20, 20)) / 2, float(rng.randrange(-20, 20)) / 2) for _ in range(300)}
+    rows = [(i, x, y) for i, (x, y) in enumerate(sorted(places, key=lambda p: rng.random()))]
+    out = GR.close_pairs(spark.createDataFrame(rows, "id long, x double, y double"), "id", 1.5)
+    want = {(i, j) for i, x, y in rows for j, u, v in rows if i < j and math.hypot(u - x, v - y) <= 1.5}
+    got = [(r["id1"], r["id2"]) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "named_struct(i, -1" not in plan_of(out)  # before, a place was copied to nine cells
