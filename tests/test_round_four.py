@@ -87,4 +87,4 @@ def test_close_pairs_look_to_one_side(spark):
     want = {(i, j) for i, x, y in rows for j, u, v in rows if i < j and math.hypot(u - x, v - y) <= 1.5}
     got = [(r["id1"], r["id2"]) for r in out.collect()]
     assert len(got) == len(want) and set(got) == want
-    assert "named_struct(i, -1" not in plan_of(out)  # before, a place was copied to nine cells
+    assert "explode(sequence(" in plan_of(out)  # before, every place was copied to the nine cells around it
